@@ -86,6 +86,9 @@ def _ball(width: int, radius: int) -> np.ndarray:
 
 
 def _probes(prefix_bits: int, segments: int, reach: int):
+    """Blocks of fingerprints for each range and bucket. Of two buckets within reach only the one with
+    the larger number is sent the other's fingerprints, since a pair needs to meet once."""
+
     def run(batches):
         for batch in batches:
             ids, hi, lo = (np.asarray(batch.column(i)) for i in range(3))
@@ -94,10 +97,16 @@ def _probes(prefix_bits: int, segments: int, reach: int):
                 p = min(prefix_bits, end - begin)
                 home = _cut(uhi, ulo, begin, end) >> np.uint64(end - begin - p)
                 for flip in _ball(p, reach):
-                    used = int(flip).bit_count()
-                    bucket = (home ^ flip).astype(np.int32)
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(bucket), pa.array(np.full(n, reach - used, np.int32)), batch.column(0), batch.column(1), batch.column(2)], names=["seg", "bucket", "room", "id", "hi", "lo"])
+                    bucket = home ^ flip
+                    at = np.flatnonzero(bucket >= home)
+                    at = at[np.argsort(bucket[at], kind="stable")]
+                    first = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1]]) if len(at) else np.zeros(0, np.int64)
+                    blocks = np.split(at, first[1:]) if len(at) else []
+                    n = len(blocks)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, k, np.int32)), pa.array(bucket[at[first]].astype(np.int32)), pa.array(np.full(n, reach - int(flip).bit_count(), np.int32)), pa.array([np.concatenate([ids[x], hi[x], lo[x]]).tobytes() for x in blocks], pa.binary())],
+                        names=["seg", "bucket", "room", "block"],
+                    )
 
     return run
 
@@ -109,8 +118,10 @@ def _matcher(prefix_bits: int, segments: int, reach: int, radius: int):
         k = table.column("seg")[0].as_py()
         begin, end = spans[k]
         width = end - begin - min(prefix_bits, end - begin)
-        ids, room = table.column("id").to_numpy(), table.column("room").to_numpy()
-        hi, lo = (table.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+        blocks = [np.frombuffer(x, dtype=np.int64).reshape(3, -1) for x in table.column("block").to_pylist()]
+        ids, hi, lo = np.concatenate(blocks, axis=1)
+        hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+        room = np.repeat(table.column("room").to_numpy(), [x.shape[1] for x in blocks])
         low = _cut(hi, lo, begin, begin + width) if width else np.zeros(len(ids), np.uint64)
         home = np.flatnonzero(room == reach)  # its own prefix: the row is in the table itself
         home = home[np.argsort(low[home], kind="stable")]
@@ -136,7 +147,7 @@ def _matcher(prefix_bits: int, segments: int, reach: int, radius: int):
                 x = np.repeat(able[a : a + 4096], n)
                 offset = np.arange(len(x)) - np.repeat(ends[a : a + 4096] - n - base, n)
                 y = home[np.repeat(first[slot[a : a + 4096]], n) + offset]
-                ok = ids[x] < ids[y]
+                ok = (room[x] < reach) | (ids[x] < ids[y])
                 x, y = x[ok], y[ok]
                 dh, dl = hi[x] ^ hi[y], lo[x] ^ lo[y]
                 ok = np.bitwise_count(dh).astype(np.int64) + np.bitwise_count(dl) <= radius
@@ -147,7 +158,8 @@ def _matcher(prefix_bits: int, segments: int, reach: int, radius: int):
                 left.append(ids[x])
                 right.append(ids[y])
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(left or [none]), "b": np.concatenate(right or [none])})
+        x, y = np.concatenate(left or [none]), np.concatenate(right or [none])
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return match
 
@@ -156,7 +168,7 @@ def near_pairs(reps: DataFrame, total: int, radius: int = 20, segments: int = 7,
     """(a, b) with a < b for all pairs of (id, hi, lo) rows within the radius, each pair once."""
     reach = radius // segments
     prefix_bits = max(0, math.ceil(math.log2(max(1, total / bucket_rows))))
-    rows = reps.mapInArrow(_probes(prefix_bits, segments, reach), "seg int, bucket int, room int, id bigint, hi bigint, lo bigint")
+    rows = reps.mapInArrow(_probes(prefix_bits, segments, reach), "seg int, bucket int, room int, block binary")
     return rows.groupBy("seg", "bucket").applyInArrow(_matcher(prefix_bits, segments, reach, radius), "a bigint, b bigint")
 
 
