@@ -79,6 +79,7 @@ class RatioModel:
         self.tables: list[HashTable | None] = [None]
         self.values: list[np.ndarray] = [np.zeros(256)]
         self.backoffs: list[np.ndarray] = []
+        self.at_start: list[float] = []
         for n in range(2, self.order + 1):
             pairs = [c[n - 1] for c in by_class]
             union = np.union1d(pairs[0][0], pairs[1][0])
@@ -110,6 +111,8 @@ class RatioModel:
             placed = (row >= 0) & keep
             backoff[row[placed]] = (gammas[0] - gammas[1])[placed]
             self.backoffs.append(backoff)
+            # the context of a text's first byte is padding, which is no gram of its own
+            self.at_start.append(float((gammas[0] - gammas[1])[0]) if len(context) and context[0] == 0 and keep[0] else 0.0)
             union, logs = union[kept], [x[kept] for x in logs]
             self.tables.append(HashTable(union))
             self.values.append(logs[0] - logs[1])
@@ -132,6 +135,8 @@ class RatioModel:
             before = np.full(len(data), -1, dtype=np.int64)
             before[1:] = rows[:-1]
             ratio += np.where(before >= 0, backoff[before], 0.0)
+            if n > 2:
+                ratio[1:][data[:-1] == 0] += self.at_start[n - 2]
             keys = _grams(data, n)
             rows = np.full(len(data), -1, dtype=np.int64)
             rows[n - 1 :] = self.tables[n - 1].find(keys)

@@ -63,77 +63,96 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _exploded(texts: list[str | None], order: int, bits: int):
-    """Distinct keys in order; for each order the row of the key at each position, and whether the
-    text has that many words up to there; the number of words of each text; how often each key occurs."""
-    words, sizes = _words(texts)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+def _exploded(words: np.ndarray, owner: np.ndarray, order: int, bits: int):
+    """For each order in turn, so that one order's arrays are held at a time: its number, the distinct
+    keys in order, the row of the key at each position that has enough words up to there, and which
+    positions those are. Order 0 is the empty n-gram, which every word has."""
     spare = np.uint64(max(0, 64 - _KEY_BITS - bits))
-    keys, oks = [np.zeros(1, np.uint64)], []  # key 0 is the empty n-gram, which every word has
+    yield 0, np.zeros(1, np.uint64), np.zeros(len(words), np.int32), np.ones(len(words), dtype=bool)
     for n in range(1, order + 1):
         hashed, ok = ngram_hashes(words, owner, n)
-        keys.append(hashed[ok] >> spare)
-        oks.append(ok)
-    ends = np.cumsum([len(k) for k in keys])
-    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(inverse, minlength=len(unique)).astype(np.int64)
-    counts[inverse[0]] += len(words) - 1
-    return unique, [inverse[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], oks, owner, sizes, counts, inverse[0]
+        keys = hashed[ok] >> spare
+        del hashed
+        at = np.argsort(keys)
+        keys = keys[at]
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        rows = np.empty(len(keys), dtype=np.int32)
+        rows[at] = np.cumsum(fresh, dtype=np.int32) - 1
+        del at
+        yield n, keys[fresh], rows, ok
+
+
+def _owners(sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def _explode(order: int, bits: int):
+    low = np.uint64(min(64 - bits, _KEY_BITS))
+    mask = np.uint64((1 << int(low)) - 1)
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        unique, _, _, _, _, counts, _ = _exploded(table.column("text").to_pylist(), order, bits)
-        low = np.uint64(min(64 - bits, _KEY_BITS))
-        bucket = (unique >> low).astype(np.int64) if bits else np.zeros(len(unique), np.int64)
-        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        stop = np.r_[at[1:], len(unique)]
-        mask = np.uint64((1 << int(low)) - 1)
-        return pa.table({
-            "bucket": pa.array(bucket[at]), "batch": pa.array(np.full(len(at), key[0].as_py(), np.int64)), "n": pa.array((stop - at).astype(np.int64)),
-            "keys": pa.array([_pack(unique[a:b] & mask) for a, b in zip(at, stop, strict=True)], pa.binary()),
-            "counts": pa.array([_pack_counts(counts[a:b]) for a, b in zip(at, stop, strict=True)], pa.binary()),
-        })
+        words, sizes = _words(table.column("text").to_pylist())
+        out: dict[str, list] = {"bucket": [], "batch": [], "order": [], "n": [], "keys": [], "counts": []}
+        for n, unique, rows, _ in _exploded(words, _owners(sizes), order, bits):
+            counts = np.bincount(rows, minlength=len(unique)).astype(np.int64)
+            bucket = (unique >> low).astype(np.int64) if bits else np.zeros(len(unique), np.int64)
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(unique) else np.zeros(0, np.int64)
+            for a, b in zip(at, np.r_[at[1:], len(unique)], strict=False):
+                for name, value in (("bucket", bucket[a]), ("batch", key[0].as_py()), ("order", n), ("n", b - a), ("keys", _pack(unique[a:b] & mask)), ("counts", _pack_counts(counts[a:b]))):
+                    out[name].append(value)
+        kinds = {"bucket": pa.int64(), "batch": pa.int64(), "order": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     return run
 
 
 def _count_and_join(table: pa.Table) -> pa.Table:
+    """Sums the partition's count table and gives every sender the counts of its keys. An order's hash has
+    a seed of its own, so orders are told apart by their keys; order 0 has key 0."""
     sizes = table.column("n").to_pylist()
     keys = np.concatenate([_unpack(x) for x in table.column("keys").to_pylist()])
     sent = np.concatenate([_unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
-    _, inverse = np.unique(keys, return_inverse=True)
-    totals = np.zeros(inverse.max() + 1, dtype=np.int64)
-    np.add.at(totals, inverse, sent)
-    joined = totals[inverse]
+    at = np.argsort(keys)
+    keys = keys[at]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    totals = np.add.reduceat(sent[at], first)
+    joined = np.empty(len(at), dtype=np.int64)
+    joined[at] = np.repeat(totals, np.diff(np.r_[first, len(keys)]))
     ends = np.cumsum(sizes)
     packed = [_pack_counts(joined[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
-    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": table.column("n"), "counts": pa.array(packed, pa.binary())})
+    return table.select(["batch", "bucket", "order", "n"]).append_column("counts", pa.array(packed, pa.binary()))
 
 
 def _summed(order: int, bits: int, min_count: int, backoff: float):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        _, rows, oks, owner, sizes, _, empty = _exploded(docs.column("text").to_pylist(), order, bits)
-        replies = replies.sort_by("bucket")
-        counts = np.concatenate([_unpack_counts(x, n) for x, n in zip(replies.column("counts").to_pylist(), replies.column("n").to_pylist(), strict=True)]) if len(replies) else np.zeros(1, np.int64)
-        logs = np.log(np.maximum(counts, 1))
-        total = len(owner)
-        score, penalty, open_ = np.zeros(total), np.zeros(total), np.ones(total, dtype=bool)
-        for n in range(order, 0, -1):
-            ok = oks[n - 1]
-            at = np.flatnonzero(ok)  # position of each n-gram of this order
-            seen = open_[at] & (counts[rows[n - 1]] >= (min_count if n > 1 else 1))
-            if n == 1:
-                history = np.full(total, logs[empty])
-            else:
-                below = np.zeros(total)
-                below[np.flatnonzero(oks[n - 2])] = logs[rows[n - 2]]
-                history = np.zeros(total)
-                history[1:] = below[:-1]
-            hit = at[seen]
-            score[hit] = penalty[hit] + logs[rows[n - 1][seen]] - history[hit]
-            open_[hit] = False
-            penalty[at[~seen]] += math.log(backoff)
+        words, sizes = _words(docs.column("text").to_pylist())
+        owner = _owners(sizes)
+        total = len(words)
+        replies = replies.sort_by([("order", "ascending"), ("bucket", "ascending")])
+        orders = replies.column("order").to_numpy()
+        score = np.zeros(total)
+        history = np.zeros(total)
+        # upwards: an order that is seen replaces what lower orders gave, one that isn't costs a backoff
+        for n, unique, rows, ok in _exploded(words, owner, order, bits):
+            mine = np.flatnonzero(orders == n)
+            got = [_unpack_counts(replies.column("counts")[int(i)].as_py(), replies.column("n")[int(i)].as_py()) for i in mine]
+            counts = np.concatenate(got) if got else np.zeros(len(unique), np.int64)
+            logs = np.log(np.maximum(counts, 1))
+            if n:
+                at = np.flatnonzero(ok)
+                seen = counts[rows] >= (min_count if n > 1 else 1)
+                score[at[~seen]] += math.log(backoff)
+                hit = at[seen]
+                score[hit] = logs[rows[seen]] - history[hit]
+            # the history of a position is the n-gram that ends before it
+            history = np.zeros(total)
+            if n:
+                own = np.zeros(total)
+                own[ok] = logs[rows]
+                history[1:] = own[:-1]
+            elif total:
+                history[:] = logs[0]
         sums = np.bincount(owner, score, len(sizes))
         none = sizes == 0
         return pa.table({
@@ -159,8 +178,8 @@ def score_documents(docs: DataFrame, order: int = 3, min_count: int = 2, backoff
     batches = max(1, math.ceil(size / batch_bytes))
     bits = max(0, math.ceil(math.log2(max(1.0, size / 6 * order * 0.7 / bucket_keys))))
     batched = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)))
-    sent = batched.groupBy("batch").applyInArrow(_explode(order, bits), "bucket bigint, batch bigint, n bigint, keys binary, counts binary")
-    joined = sent.groupBy("bucket").applyInArrow(_count_and_join, "batch bigint, bucket bigint, n bigint, counts binary")
+    sent = batched.groupBy("batch").applyInArrow(_explode(order, bits), "bucket bigint, batch bigint, order int, n bigint, keys binary, counts binary")
+    joined = sent.groupBy("bucket").applyInArrow(_count_and_join, "batch bigint, bucket bigint, order int, n bigint, counts binary")
     return batched.groupBy("batch").cogroup(joined.groupBy("batch")).applyInArrow(_summed(order, bits, min_count, backoff), SCHEMA)
 
 
