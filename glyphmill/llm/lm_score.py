@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import only
@@ -31,6 +32,7 @@ from .textutil import ngram_hashes, steps, word_hashes
 
 SCHEMA = "doc_id bigint, n_words bigint, log_score double, mean_log_score double"
 _KEY_BITS = 48
+_POSITIONS = 1 << 17  # positions that are summed at once
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -58,29 +60,38 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [word_hashes(texts[a:b]) for a, b in steps([len(t) if t else 0 for t in texts])]
+def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a column of texts; a small part of it is taken out of Arrow at a time."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    parts = [word_hashes(column.slice(a, b - a).to_pylist()) for a, b in steps(lengths, 500_000)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _exploded(words: np.ndarray, owner: np.ndarray, order: int, bits: int):
     """For each order in turn, so that one order's arrays are held at a time: its number, the distinct
-    keys in order, the row of the key at each position that has enough words up to there, and which
-    positions those are. Order 0 is the empty n-gram, which every word has."""
+    keys in order, and the row of the key at each position, -1 where the text has fewer words up to
+    there. Order 0 is the empty n-gram, which every word has. Keys are sorted a range at a time."""
     spare = np.uint64(max(0, 64 - _KEY_BITS - bits))
-    yield 0, np.zeros(1, np.uint64), np.zeros(len(words), np.int32), np.ones(len(words), dtype=bool)
+    yield 0, np.zeros(1, np.uint64), np.zeros(len(words), np.int32)
     for n in range(1, order + 1):
-        hashed, ok = ngram_hashes(words, owner, n)
-        keys = hashed[ok] >> spare
-        del hashed
-        at = np.argsort(keys)
-        keys = keys[at]
-        fresh = np.ones(len(keys), dtype=bool)
-        fresh[1:] = keys[1:] != keys[:-1]
-        rows = np.empty(len(keys), dtype=np.int32)
-        rows[at] = np.cumsum(fresh, dtype=np.int32) - 1
-        del at
-        yield n, keys[fresh], rows, ok
+        keys, ok = ngram_hashes(words, owner, n)
+        rows = np.full(len(words), -1, dtype=np.int32)
+        distinct, known = [np.zeros(0, np.uint64)], 0
+        top = (keys >> np.uint64(61)).astype(np.uint8)
+        top[~ok] = 255
+        keys >>= spare
+        for part in range(8):
+            where = np.flatnonzero(top == part)
+            own = keys[where]
+            at = np.argsort(own)
+            own, where = own[at], where[at]
+            fresh = np.ones(len(own), dtype=bool)
+            fresh[1:] = own[1:] != own[:-1]
+            rows[where] = np.cumsum(fresh, dtype=np.int32) + np.int32(known - 1)
+            distinct.append(own[fresh])
+            known += len(distinct[-1])
+        del keys, top, ok
+        yield n, np.concatenate(distinct), rows
 
 
 def _owners(sizes: np.ndarray) -> np.ndarray:
@@ -92,10 +103,10 @@ def _explode(order: int, bits: int):
     mask = np.uint64((1 << int(low)) - 1)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        words, sizes = _words(table.column("text").to_pylist())
+        words, sizes = _words(table.column("text"))
         out: dict[str, list] = {"bucket": [], "batch": [], "order": [], "n": [], "keys": [], "counts": []}
-        for n, unique, rows, _ in _exploded(words, _owners(sizes), order, bits):
-            counts = np.bincount(rows, minlength=len(unique)).astype(np.int64)
+        for n, unique, rows in _exploded(words, _owners(sizes), order, bits):
+            counts = np.bincount(rows[rows >= 0], minlength=len(unique))
             bucket = (unique >> low).astype(np.int64) if bits else np.zeros(len(unique), np.int64)
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(unique) else np.zeros(0, np.int64)
             for a, b in zip(at, np.r_[at[1:], len(unique)], strict=False):
@@ -126,33 +137,31 @@ def _count_and_join(table: pa.Table) -> pa.Table:
 
 def _summed(order: int, bits: int, min_count: int, backoff: float):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        words, sizes = _words(docs.column("text").to_pylist())
+        words, sizes = _words(docs.column("text"))
         owner = _owners(sizes)
         total = len(words)
         replies = replies.sort_by([("order", "ascending"), ("bucket", "ascending")])
         orders = replies.column("order").to_numpy()
-        score = np.zeros(total)
-        history = np.zeros(total)
-        # upwards: an order that is seen replaces what lower orders gave, one that isn't costs a backoff
-        for n, unique, rows, ok in _exploded(words, owner, order, bits):
+        levels = []  # (row of each position, log of each row's count, whether the row counts as seen)
+        for n, unique, rows in _exploded(words, owner, order, bits):
             mine = np.flatnonzero(orders == n)
             got = [_unpack_counts(replies.column("counts")[int(i)].as_py(), replies.column("n")[int(i)].as_py()) for i in mine]
             counts = np.concatenate(got) if got else np.zeros(len(unique), np.int64)
-            logs = np.log(np.maximum(counts, 1))
-            if n:
-                at = np.flatnonzero(ok)
-                seen = counts[rows] >= (min_count if n > 1 else 1)
-                score[at[~seen]] += math.log(backoff)
-                hit = at[seen]
-                score[hit] = logs[rows[seen]] - history[hit]
-            # the history of a position is the n-gram that ends before it
-            history = np.zeros(total)
-            if n:
-                own = np.zeros(total)
-                own[ok] = logs[rows]
-                history[1:] = own[:-1]
-            elif total:
-                history[:] = logs[0]
+            levels.append((rows, np.log(np.maximum(counts, 1)), counts >= (min_count if n > 1 else 1)))
+        score = np.zeros(total)
+        for a in range(0, total, _POSITIONS):
+            part = slice(a, min(total, a + _POSITIONS))
+            # upwards: an order that is seen replaces what lower orders gave, one that isn't costs a backoff
+            for n in range(1, order + 1):
+                rows, logs, seen = levels[n]
+                own = rows[part]
+                ok = own >= 0
+                hit = np.zeros(len(own), dtype=bool)
+                hit[ok] = seen[own[ok]]
+                # the history of a position is the n-gram that ends before it
+                before = np.flatnonzero(hit) + a - (n > 1)
+                score[part][ok & ~hit] += math.log(backoff)
+                score[part][hit] = logs[own[hit]] - levels[n - 1][1][levels[n - 1][0][before]]
         sums = np.bincount(owner, score, len(sizes))
         none = sizes == 0
         return pa.table({

@@ -75,17 +75,25 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashed, counts
 
 
+def _mix64_inplace(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def ngram_hashes(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n words that end at each position; False where the text has fewer before it."""
-    out = mix64(words + np.uint64(n))
+    out = _mix64_inplace(words + np.uint64(n))
     ok = np.ones(len(words), dtype=bool)
     for back in range(1, n):
-        shifted = np.zeros_like(words)
-        shifted[back:] = words[:-back]
-        out = mix64(out * np.uint64(_ODD) + shifted)
-        same = np.zeros(len(words), dtype=bool)
-        same[back:] = owner[back:] == owner[:-back]
-        ok &= same
+        out *= np.uint64(_ODD)
+        out[back:] += words[:-back]
+        _mix64_inplace(out)
+        ok[:back] = False
+        ok[back:] &= owner[back:] == owner[:-back]
     return out, ok
 
 
