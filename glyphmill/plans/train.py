@@ -63,11 +63,11 @@ def train_words(
             _tell(report, step=step, vocab=len(vocabulary), left=pair and pair[0], right=pair and pair[1], count=count, pairs=len(engine.pairs))
         done = pair is None or not engine.pairs or len(vocabulary) >= vocab_size
         if outprefix and (done or checkpoint_iterations and len(vocabulary) % checkpoint_iterations == 0):
-            vocabulary.counts = {t: n for t, n in engine.singles.items() if n}
+            vocabulary.counts = {t: n for t, n in engine.singles.items() if n and t in vocabulary}
             write_model(model, f"{outprefix}_{len(vocabulary)}.model")
         if done:
             break
-    vocabulary.counts = {t: n for t, n in engine.singles.items() if n}
+    vocabulary.counts = {t: n for t, n in engine.singles.items() if n and t in vocabulary}
     return model
 
 
@@ -118,7 +118,7 @@ def train_supers(
 
     def finished() -> Model:
         final = vocabulary.copy()
-        final.counts = {t: n for t, n in engine.singles.items() if n}
+        final.counts = {t: n for t, n in engine.singles.items() if n and t in final}
         kept = [t for t, _ in sorted(word_model.vocabulary.specials.items(), key=lambda x: x[1])]
         final.register_specials([*kept, *specials])
         return Model(final, word_model.words if supers is not None else word_model.words.trimmed(at), word_model.splitter, ops)
