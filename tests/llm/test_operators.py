@@ -253,12 +253,14 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs_of(spark, []), labels_of(spark, labels)).collect() == []
 
 
-def test_toxicity_on_labelled_documents(spark, sf):
-    sf = sf.replace("0.001", "0.1")
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = toxicity.score_toxicity(docs, labels, per_class=250).join(labels, "doc_id")
-    right = held.groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("share")).collect()
-    share = {r.toxic: r.share for r in right}
+def test_toxicity_on_held_out_documents(spark):
+    """Fitted on labelled rows with even ids, held against those with odd ids. Some hundreds of toxic rows
+    are too few for this data (README); here there are about a thousand of each."""
+    where = "/root/testdata/check_s"
+    labels = spark.read.parquet(f"{where}/labels.parquet")
+    docs = spark.read.parquet(f"{where}/documents.parquet").join(labels.select("doc_id"), "doc_id")
+    held = toxicity.score_toxicity(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    share = {r.toxic: r.share for r in held.groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("share")).collect()}
     assert share[1] > 0.9 and share[0] < 0.05
 
 
