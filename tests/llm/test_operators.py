@@ -420,6 +420,19 @@ def test_packing_edges(spark):
     assert sorted(r.doc_id for r in placed) == list(range(300))
 
 
+def test_packing_is_the_same_for_any_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [(i, [f"t{int(x)}" for x in rng.zipf(1.4, int(rng.integers(1, 60))) % 997]) for i in range(240)]
+    table = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
+    monkeypatch.setattr(packing, "_SEARCHED", 80)
+    for entries in (packing._ENTRIES, 6000):  # and with lists that are cut
+        monkeypatch.setattr(packing, "_ENTRIES", entries)
+        packs = collections.defaultdict(list)
+        for r in packing.pack_documents(table, window=100, shard_docs=40).orderBy("pack_id", "slot").collect():
+            packs[r.pack_id].append((r.doc_id, r.start_word, r.n_words))
+        assert sorted(packs.values()) == sorted(brute_pack(docs, 100))
+
+
 # 9: SentencePiece
 
 
