@@ -7,6 +7,10 @@ a query's own pivots ranks all rows by footrule. Those within a radius are reran
 
 The radius is calibrated on a bounded sample so that it holds the share `target` of true neighbours;
 there is no cap on candidates. The sample is sparser than the table, which errs towards a wider radius.
+A query in a sparse region has few rows within it, so each query has a radius of its own as well: that
+of its k-th row by footrule and a slack with which every query of the sample has the share `target` of
+its neighbours. The wider of the two counts; in each shard the k-th row is that of the shard, which
+errs towards a wider radius too.
 """
 
 from __future__ import annotations
@@ -42,18 +46,28 @@ def shared_weight(query: np.ndarray, files: np.ndarray) -> np.ndarray:
     return total
 
 
-def calibrate(x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, prefix: int, k: int, target: float, queries: int) -> int:
-    """Least shared weight that the share `target` of the sample's true neighbours reaches."""
+def kth_weight(shared: np.ndarray, own: int | None, k: int) -> int:
+    """The k-th largest shared weight without the query's own row; 0 where there are fewer rows."""
+    others = shared if own is None else np.delete(shared, own)
+    return int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else 0
+
+
+def calibrate(x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, prefix: int, k: int, target: float, queries: int) -> tuple[int, int]:
+    """Least shared weight that the share `target` of the sample's true neighbours reaches, and by how much
+    that share of any one query's neighbours may stay below the query's k-th largest shared weight."""
     w = weights(x, pivots, prefix)
     files = np.ascontiguousarray(w.T)
-    seen = []
+    seen, slack = [], 0
     for i in np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int):
         d2 = ((x - x[i]) ** 2).sum(axis=1)
         d2[i] = np.inf
         near = np.argsort(d2, kind="stable")[: min(k, len(x) - 1)]
-        seen.append(shared_weight(w[i], files)[near])
+        shared = shared_weight(w[i], files)
+        seen.append(shared[near])
+        if len(near):
+            slack = max(slack, kth_weight(shared, i, len(near)) - int(np.sort(shared[near])[int((1 - target) * len(near))]))
     values = np.sort(np.concatenate(seen)) if seen else np.zeros(1, int)
-    return int(values[int((1 - target) * len(values))]) if len(values) else 0
+    return (int(values[int((1 - target) * len(values))]) if len(values) else 0), slack
 
 
 def neighbours(
@@ -63,7 +77,7 @@ def neighbours(
 
     Pivots are the rows with the smallest hashes of their ids. Distances, ties, NULLs, broken vectors,
     repeated ids and fewer than k rows are treated as in exact_topk.top_k; an empty table gives none.
-    A query may have fewer than k rows where fewer candidates lie within the radius.
+    A query has k rows wherever the table has as many other ids.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -76,8 +90,8 @@ def neighbours(
     x, ids = matrix(sample.column("v"), dims), sample.column("id").to_numpy()
     chosen = np.unique(x, axis=0) if len(x) <= pivots else x[:pivots]
     prefix = min(prefix, len(chosen))
-    least = calibrate(x, ids, chosen, prefix, k, target, sample_queries)
-    held = spark.sparkContext.broadcast((chosen, least))
+    least, slack = calibrate(x, ids, chosen, prefix, k, target, sample_queries)
+    held = spark.sparkContext.broadcast((chosen, least, slack))
     count = cells(total, cell_rows)
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     home = F.pmod("turn", F.lit(count)).cast("int")
@@ -85,14 +99,16 @@ def neighbours(
     posted = rows.select(every.alias("q_cell"), home.alias("shard"), "id", "v").toDF("for_cell", "in_shard", "other", "w")
 
     def compare(q: pa.Table, x: pa.Table) -> pa.Table:
-        pivot_rows, least = held.value
+        pivot_rows, least, slack = held.value
         qv, xv = matrix(q.column("v"), dims), matrix(x.column("w"), dims)
         q_ids, x_ids = q.column("id").to_numpy(), x.column("other").to_numpy()
         wq, files = weights(qv, pivot_rows, prefix), np.ascontiguousarray(weights(xv, pivot_rows, prefix).T)
         squares = (xv * xv).sum(1)
         best = []
         for i in range(len(qv)):
-            at = np.flatnonzero(shared_weight(wq[i], files) >= least)
+            shared = shared_weight(wq[i], files)
+            own = np.flatnonzero(x_ids == q_ids[i])
+            at = np.flatnonzero(shared >= max(0, min(least, kth_weight(shared, int(own[0]) if len(own) else None, k) - slack)))
             at = at[x_ids[at] != q_ids[i]]
             if len(at) > 4 * k:
                 at = at[nearest_rows(squares[at] - 2 * (xv[at] @ qv[i]), k, 3e-9 + 1e-12 * float(squares.max()))]

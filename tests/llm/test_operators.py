@@ -98,6 +98,18 @@ def test_permutation_recall(spark, sf):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_permutation_recall_where_rows_are_sparse(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    x = np.concatenate([centres[rng.integers(0, 40, 2900)] + rng.normal(size=(2900, 32)) * 0.05, rng.normal(size=(100, 32)) * 3])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    found = as_lists(permutation_ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), 10, cell_rows=1000))
+    assert len(found) == len(x) and all(len(f) == 10 for f in found.values())
+    scattered = np.flatnonzero((x * x).sum(1) > 150)
+    exact = {int(i): set(np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1:11].tolist()) for i in scattered}
+    assert len(exact) > 90 and np.mean([len(exact[i] & {j for j, _ in found[i]}) / 10 for i in exact]) >= 0.9
+
+
 def test_footrule():
     rng = np.random.default_rng(2)
     x, pivots = rng.normal(size=(20, 5)), rng.normal(size=(9, 5))
