@@ -29,7 +29,10 @@ _RUN = re.compile(
     r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s,:.\\-]*?)-----END (?P=label)-----"
     r"|(?P<run>(?:[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)?)={0,2})"
 )
+#: Secrets with a fixed start, wherever no letter or digit stands before them.
+_START = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?=e[wy])[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)")
 _NAMED = re.compile(r"(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|encryption[_-]?key)[\"']?\s{0,4}(?:=>|:=|[:=])\s{0,4}[\"']?$", re.IGNORECASE)
+_FIXED = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA|gh[pousr]_|e[wy])")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){8,}|(?:[0-9A-F]{2}){8,}")
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _SIGNATURE = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | dict.fromkeys(("RS256", "RS384", "RS512", "PS256", "PS384", "PS512"), (128, 1024))
@@ -208,15 +211,57 @@ def confirm(text: str, label: str | None, body: str | None, before: str) -> tupl
     return None
 
 
+def _within(text: str, before: str) -> list[tuple[int, tuple[str, str, int]]]:
+    """(start, secret) of the first part of a run that begins after '/', '-', '_' or '+' and goes to its end."""
+    named = bool(_NAMED.search(before))
+    for m in re.finditer(r"[/_+-](?=[A-Za-z0-9])", text.split(".", 1)[0]):
+        part = text[m.end() :]
+        if (named or part.startswith(("M", "b3Bl", "30"))) and len(part.split(".", 1)[0]) >= 16:
+            found = confirm(part, None, None, before)
+            if found:
+                return [(m.end(), found)]
+    return []
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int, str, str, int]]:
     """(start, length, kind, detail, decoded bytes) of the secrets of a text, in order, not overlapping."""
-    out = []
+    out, rejected = [], []
     for m in _RUN.finditer(text or ""):
         found = confirm(m.group(), m.group("label"), m.group("body"), text[max(0, m.start() - 48) : m.start()])
         if found:
             size = m.end() - m.start() if found[0] == "signed_token" or m.group("label") else len(m.group().split(".", 1)[0])
             out.append((m.start(), size, *found))
-    return out
+        elif m.group("label") is None:
+            rejected.append(m)
+    if not rejected:
+        return out
+
+    def add(start: int, size: int, found: tuple[str, str, int]) -> None:
+        # the secrets so far are apart and few, so that they're looked through
+        if all(start + size <= s[0] or start >= s[0] + s[1] for s in out):
+            out.append((start, size, *found))
+
+    for start in (i for r in rejected for i in _starts(text, r.start(), r.end())):
+        m = _START.match(text, start)
+        value = m.group()
+        ends = [len(value)]
+        if "." in value:  # what follows a signature may be joined to it by a character of its alphabet
+            ends += [i for i in range(len(value) - 1, value.rindex(".") + 1, -1) if value[i] in "-_"]
+        for end in ends:
+            found = confirm(value[:end], None, None, "")
+            if found and (found[0] == "signed_token" or "." not in value):
+                add(start, end, found)
+                break
+    for m in rejected:
+        for at, found in _within(m.group(), text[max(0, m.start() - 48) : m.start()]):
+            size = len(m.group()) - at if found[0] == "signed_token" else len(m.group()[at:].split(".", 1)[0])
+            add(m.start() + at, size, found)
+    return sorted(out)
+
+
+def _starts(text: str, a: int, e: int) -> list[int]:
+    """Where secrets with a fixed start begin in a range; each start is tried, as an earlier one may run over it."""
+    return [i for i in (m.start() for m in _FIXED.finditer(text, a, e)) if _START.match(text, i)]
 
 
 SCHEMA = "doc_id bigint, start bigint, length int, kind string, detail string, n_bytes int, fingerprint string"
