@@ -22,7 +22,7 @@ from .sources.model_file import Model, operations_table, vocabulary_table
 GPT2, GPT4O = Splitter(patterns.GPT2), Splitter(patterns.GPT4O)
 #: The operators whose feature is a limit.
 BUDGET, LINES, TOP = 1_000_000, 500, 25
-NGRAM_COUNT, NGRAM_LENGTH = 15, 4
+NGRAM_COUNT, NGRAM_LENGTH = 15, 30
 VOCAB_SIZE, SUPERS = 500, 40
 
 

@@ -256,3 +256,14 @@ def test_queries_and_command_line(spark, sf):
     assert set(own.oracle_sql()) <= set(every)
     assert every["pretoken_tally_gpt2"](spark, sf).count() > 100
     assert parser().parse_args(["train-word", "c", "m", "--vocab-size", "300"]).vocab_size == 300
+
+
+def test_registered_ngrams_are_as_long_as_the_reference(spark, tmp_path):
+    words = [f" w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(32)]
+    rows = [(i, "".join(f" w{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(32))) for i in range(15)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = own.queries()
+    assert {r.n: r.kinds for r in every["ngram_len_hist"](spark, str(tmp_path)).collect()} == {n: 33 - n for n in range(2, 31)}
+    assert every["ngram_counts"](spark, str(tmp_path)).filter("n = 30").count() == 3
+    pieces = {r.tokens: r.cnt for r in every["greedy_split_runs"](spark, str(tmp_path)).collect()}
+    assert pieces == {"␟".join(words[:30]): 15, "␟".join(words[30:]): 15}
