@@ -1,28 +1,39 @@
-"""Exact top-k neighbours of every row by multi-resolution segment statistics.
+"""Exact top-k neighbours by multi-resolution segment statistics.
 
 A vector is cut into 1, 4, 16, ... segments; each keeps its mean and deviation. With segments of m
 elements, sum(m * ((mean_x - mean_y)^2 + (dev_x - dev_y)^2)) is a lower bound of the squared distance
 that only grows with the resolution. Bounds go from coarse to fine and the exact distance is computed
 for what survives, so the result is that of a full search.
 
-1. rows are sorted into cells of bounded size along the coarsest mean, and every cell keeps the box of
-   its rows' statistics;
+1. rows are sorted into cells of bounded size by a tree over the finest statistics, fitted on a bounded
+   sample; every cell keeps the box of its rows' statistics at all resolutions;
 2. a query searches its own cell first, which bounds its k-th distance;
-3. a pair of cells is compared only where the distance of the boxes is within the widest bound of the
-   queries, and within a pair each query goes through the resolutions;
-4. the best rows of all cells are merged for each query.
+3. blocks of queries meet blocks of boxes: a query goes on to a cell only where the distance of its
+   statistics to the cell's box is within its bound, again from coarse to fine;
+4. a cell's rows meet the queries that reached it, in chunks of bounded size, and each query goes
+   through the resolutions once more, row by row;
+5. the best rows of all cells are merged for each query.
+
+The tree decides only where a row lies; the boxes are those of all rows of a cell, so that the result
+doesn't depend on the sample.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import saved
-from .vectors import PARTIAL, cells, clean_vectors, exact_best, matrix, merged, nearest_rows, partial_table
+from .vectors import PARTIAL, cells, clean_vectors, exact_best, is_query, matrix, merged, nearest_rows, partial_table
 
 _QUERIES = 256  # queries that are compared at once
+#: Rows that the tree is fitted on, and leaves that it may have; the leaves of a larger table are cut by a hash of the id.
+TREE_ROWS, TREE_LEAVES = 65_536, 4096
+#: Queries and boxes that meet in one task.
+_QUERY_BLOCK, _BOX_BLOCK = 8192, 4096
 
 
 def resolutions(dims: int) -> list[int]:
@@ -36,9 +47,9 @@ def resolutions(dims: int) -> list[int]:
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, scaled by the root of their length: squared distances of
     these rows are lower bounds of those of the vectors."""
-    parts = np.array_split(np.arange(x.shape[1]), segments)
-    if segments > 1:  # nested cuts, also where the number of dimensions isn't a multiple
-        parts = [p for half in np.array_split(np.arange(x.shape[1]), segments // 4) for p in np.array_split(half, 4)] if segments > 4 else np.array_split(np.arange(x.shape[1]), 4)
+    parts = [np.arange(x.shape[1])]
+    while len(parts) < segments:  # nested cuts, also where the number of dimensions isn't a multiple
+        parts = [p for whole in parts for p in np.array_split(whole, 4)]
     out = np.empty((len(x), 2 * len(parts)))
     for i, p in enumerate(parts):
         root = np.sqrt(len(p))
@@ -80,8 +91,58 @@ def search(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, x
     return out
 
 
-def top_k(table: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", cell_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): the k nearest other ids of every id, exactly.
+class Tree:
+    """Halves a sample at the median of its widest statistic, again and again; a row goes down to a leaf."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.depth = max(0, math.ceil(math.log2(max(1, min(leaves, len(sample))))))
+        self.column = np.zeros(1 << self.depth, dtype=np.int64)
+        self.edge = np.full(1 << self.depth, np.inf)
+        if len(sample):
+            self._fit(sample, 1)
+
+    def _fit(self, part: np.ndarray, node: int) -> None:
+        if node >= 1 << self.depth or len(part) < 2:
+            return
+        column = int(part.var(axis=0).argmax())
+        edge = float(np.median(part[:, column]))
+        low = part[:, column] <= edge
+        self.column[node], self.edge[node] = column, edge
+        self._fit(part[low], 2 * node)
+        self._fit(part[~low], 2 * node + 1)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (x[np.arange(len(x)), self.column[node]] > self.edge[node])
+        return node - (1 << self.depth)
+
+
+def _box(x: np.ndarray) -> np.ndarray:
+    """Least and largest statistics of the rows at every resolution, end to end."""
+    f = np.concatenate([statistics(x, s) for s in resolutions(x.shape[1])], axis=1)
+    return np.concatenate([f.min(axis=0), f.max(axis=0)])
+
+
+def reached(q: np.ndarray, bound: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Which boxes (columns) lie within the bound of each query (row)."""
+    half, at = boxes.shape[1] // 2, 0
+    low, high = boxes[:, :half], boxes[:, half:]
+    alive = np.ones((len(q), len(boxes)), dtype=bool)
+    slack = 1e-9 * (1 + float((q * q).sum(1).max(initial=0)))
+    for s in resolutions(q.shape[1]):
+        f = statistics(q, s)
+        l, h = low[:, at : at + f.shape[1]], high[:, at : at + f.shape[1]]
+        at += f.shape[1]
+        for i in range(len(q)):
+            on = np.flatnonzero(alive[i])
+            gap = np.maximum(np.maximum(l[on] - f[i], f[i] - h[on]), 0)
+            alive[i, on] = (gap * gap).sum(axis=1) <= bound[i] + slack
+    return alive
+
+
+def top_k(table: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", cell_rows: int = 4096, query_every: int = 1) -> DataFrame:
+    """(query_id, rank, neighbor_id, distance): the k nearest other ids of every id that query_every divides.
 
     Euclidean distance, rounded to 6 decimals. Squared distances that agree to 9 decimals tie, and
     the smaller id comes first. Left out, as queries and as neighbours: NULL ids or vectors, vectors
@@ -89,59 +150,86 @@ def top_k(table: DataFrame, k: int = 10, id_column: str = "vec_id", vector_colum
     Rows that repeat an id count once (the smallest vector). With fewer than k other ids a query has
     fewer rows; an empty table gives none. Columns other than the two are ignored.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if k < 1 or query_every < 1:
+        raise ValueError("k and query_every must be at least 1")
     rows, total, dims = clean_vectors(table, id_column, vector_column)
     spark = table.sparkSession
     if not total:
         return merged(spark.createDataFrame([], PARTIAL), k)
-    count = cells(total, cell_rows)
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    rows = saved(rows.withColumn("m", mean))
-    edges = rows.approxQuantile("m", [i / count for i in range(1, count)], 0.1 / count) if count > 1 else []
-    # rows of one mean share a range; a range that is too large is cut further by a hash of the id
-    slot = sum((F.when(F.col("m") > e, 1).otherwise(0) for e in edges), F.lit(0)) if len(edges) <= 64 else F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("m")))
-    ranged = rows.withColumn("slot", slot)
-    sizes = ranged.groupBy("slot").count().withColumn("cuts", F.ceil(F.col("count") / F.lit(2.0 * cell_rows))).select("slot", "cuts")
-    celled = saved(ranged.join(sizes, "slot").select("id", "v", F.concat_ws(".", F.col("slot"), F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("cell")))
-
-    fine = min(4, resolutions(dims)[-1])
+    rows = saved(rows)
+    fine = resolutions(dims)[-1]
+    leaves = min(cells(total, cell_rows), TREE_LEAVES)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(TREE_ROWS).toArrow() if leaves > 1 else None
+    tree = Tree(statistics(matrix(sample.column("v"), dims), fine) if sample else np.zeros((0, 2)), leaves)
+    held = spark.sparkContext.broadcast(tree)
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = held.value.leaf(statistics(matrix(batch.column("v"), dims), fine))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["id", "v", "leaf"])
+
+    placed = saved(rows.mapInArrow(place, "id bigint, v array<double>, leaf int"))
+    # a leaf of too many rows is cut further by a hash of the id; there is one row for each leaf
+    cuts = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / F.lit(2.0 * cell_rows)).alias("cuts"))
+    cell = F.concat_ws(".", "leaf", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    celled = saved(placed.join(F.broadcast(cuts), "leaf").select("id", "v", cell.alias("cell")))
 
     def own(t: pa.Table) -> pa.Table:
+        """A row for each query, and one with NULL id that has the cell's box in v."""
         x, ids = matrix(t.column("v"), dims), t.column("id").to_numpy()
-        best = search(x, ids, np.full(len(x), np.inf), x, ids, k)
-        bound = np.array([b[1][-1] if len(b[1]) == k else np.inf for b in best])
-        return pa.table({"id": t.column("id"), "v": t.column("v"), "cell": t.column("cell"), "bound": bound, "near": pa.array([b[0].tolist() for b in best], pa.list_(pa.int64())), "d2": pa.array([b[1].tolist() for b in best], pa.list_(pa.float64()))})
+        mine = np.flatnonzero(is_query(ids, query_every))
+        best = search(x[mine], ids[mine], np.full(len(mine), np.inf), x, ids, k)
+        bound = [float(b[1][-1]) if len(b[1]) == k else math.inf for b in best]
+        return pa.table({
+            "id": pa.array([*ids[mine].tolist(), None], pa.int64()),
+            "v": pa.array([*x[mine].tolist(), _box(x).tolist()], pa.list_(pa.float64())),
+            "cell": pa.array([t.column("cell")[0].as_py()] * (len(mine) + 1)),
+            "bound": pa.array([*bound, None], pa.float64()),
+            "near": pa.array([*(b[0].tolist() for b in best), None], pa.list_(pa.int64())),
+            "d2": pa.array([*(b[1].tolist() for b in best), None], pa.list_(pa.float64())),
+        })
 
     first = saved(celled.groupBy("cell").applyInArrow(own, "id bigint, v array<double>, cell string, bound double, near array<bigint>, d2 array<double>"))
-    found = first.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "d2")).alias("n")).select("query_id", F.col("n.near").alias("neighbor_id"), F.col("n.d2").alias("d2"))
-
-    def box(t: pa.Table) -> pa.Table:
-        f = statistics(matrix(t.column("v"), dims), fine)
-        return pa.table({"cell": t.column("cell").slice(0, 1), "low": pa.array([f.min(axis=0).tolist()]), "high": pa.array([f.max(axis=0).tolist()]), "widest": pa.array([max(t.column("bound").to_pylist())])})
-
-    boxes = first.groupBy("cell").applyInArrow(box, "cell string, low array<double>, high array<double>, widest double")
-    a = boxes.select(F.col("cell").alias("q_cell"), F.col("low").alias("ql"), F.col("high").alias("qh"), "widest")
-    b = boxes.select(F.col("cell").alias("x_cell"), F.col("low").alias("xl"), F.col("high").alias("xh"))
-    gap = F.aggregate(F.zip_with(F.zip_with("ql", "xh", lambda l, h: l - h), F.zip_with("xl", "qh", lambda l, h: l - h), lambda s, t: F.greatest(s, t, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    pairs = saved(a.crossJoin(b).filter("q_cell <> x_cell").filter(gap <= F.col("widest") + 1e-6).select("q_cell", "x_cell"))
-    left = first.join(pairs, F.col("cell") == F.col("q_cell")).select("q_cell", "x_cell", "id", "v", "bound")
-    right = first.select("cell", "id", "v").join(pairs, F.col("cell") == F.col("x_cell")).select("q_cell", "x_cell", "id", "v").toDF("for_cell", "in_cell", "other", "w")
+    queries, boxes = first.filter("id is not null"), first.filter("id is null").select("cell", F.col("v").alias("box"))
+    found = queries.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "d2")).alias("n")).select("query_id", F.col("n.near").alias("neighbor_id"), F.col("n.d2").alias("d2"))
+    asked, spread = queries.count(), boxes.count()
+    if not asked or spread == 1:
+        return merged(found, k)
+
+    def meet(q: pa.Table, b: pa.Table) -> pa.Table:
+        home, cell = (np.array(t.column("cell").to_pylist(), dtype=object) for t in (q, b))
+        alive = reached(matrix(q.column("v"), dims), q.column("bound").to_numpy(), matrix(b.column("box"), width)) & (home[:, None] != cell[None])
+        i, j = np.nonzero(alive)
+        return pa.table({"id": q.column("id").take(pa.array(i)), "to": pa.array(cell[j].tolist(), pa.string())})
+
+    width = 4 * sum(resolutions(dims))
+
+    q_blocks, b_blocks = cells(asked, _QUERY_BLOCK), cells(spread, _BOX_BLOCK)
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q_side = queries.select("id", "v", "cell", "bound", block("id", q_blocks).alias("qb")).withColumn("bb", every(b_blocks))
+    b_side = boxes.select("cell", "box", block("cell", b_blocks).alias("b_bb")).withColumn("b_qb", every(q_blocks))
+    visits = saved(q_side.groupBy("qb", "bb").cogroup(b_side.groupBy("b_qb", "b_bb")).applyInArrow(meet, "id bigint, to string"))
+    chunks = visits.groupBy("to").count().select("to", F.ceil(F.col("count") / F.lit(float(_QUERY_BLOCK))).cast("int").alias("chunks"))
+    going = visits.join(chunks, "to").join(queries.select("id", "v", "bound"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("to", "chunk", "id", "v", "bound")
+    there = celled.join(chunks, celled["cell"] == chunks["to"]).select(F.col("cell"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("for_chunk"), F.col("id").alias("other"), F.col("v").alias("w"))
 
     def compare(q: pa.Table, x: pa.Table) -> pa.Table:
         ids = q.column("id").to_numpy()
         best = search(matrix(q.column("v"), dims), ids, q.column("bound").to_numpy(), matrix(x.column("w"), dims), x.column("other").to_numpy(), k)
         return partial_table(ids.tolist(), best)
 
-    others = left.groupBy("q_cell", "x_cell").cogroup(right.groupBy("for_cell", "in_cell")).applyInArrow(compare, PARTIAL)
+    others = going.groupBy("to", "chunk").cogroup(there.groupBy("cell", "for_chunk")).applyInArrow(compare, PARTIAL)
     return merged(found.unionByName(others), k)
 
 
-def top_k_sql(k: int = 10, table: str = "embeddings", id_column: str = "vec_id", vector_column: str = "embedding") -> str:
+def top_k_sql(k: int = 10, table: str = "embeddings", id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 1) -> str:
     """The same by brute force, for a table whose vectors are whole and of one length."""
     return (
         f"WITH v AS (SELECT {id_column} AS id, {vector_column}::DOUBLE[] AS v FROM {table}), "
-        "p AS (SELECT a.id AS query_id, b.id AS neighbor_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM v a JOIN v b ON a.id <> b.id), "
-        f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), neighbor_id) AS rank FROM p) "
+        "p AS (SELECT a.id AS query_id, b.id AS neighbor_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 "
+        f"FROM v a JOIN v b ON a.id <> b.id WHERE a.id % {query_every} = 0), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), neighbor_id) AS rank FROM p) "
         f"SELECT query_id, rank, neighbor_id, round(sqrt(d2), 6) AS distance FROM r WHERE rank <= {k}"
     )

@@ -1,119 +1,220 @@
-"""Approximate nearest neighbours of every row by a permutation index.
-
-A vector is represented by the order of its nearest pivots. Each pivot has an inverted file of the
-rows that hold it among their `prefix` nearest, with the weight prefix - position. Over a prefix,
-Spearman's footrule is prefix * (prefix + 1) - 2 * sum(min(weight, weight)), so adding up the files of
-a query's own pivots ranks all rows by footrule. Those within a radius are reranked by exact distance.
-
-The radius is calibrated on a bounded sample so that it holds the share `target` of true neighbours;
-there is no cap on candidates. The sample is sparser than the table, which errs towards a wider radius.
-A query in a sparse region has few rows within it, so each query has a radius of its own as well: that
-of its k-th row by footrule and a slack with which every query of the sample has the share `target` of
-its neighbours. The wider of the two counts; in each shard the k-th row is that of the shard, which
-errs towards a wider radius too.
+"""Approximate nearest neighbours by a permutation index.
+
+A vector is represented by the order of its nearest pivots. It is posted in the inverted files of its
+`prefix` nearest ones, with the weight prefix - position. Over a prefix, Spearman's footrule is
+prefix * (prefix + 1) - 2 * sum(min(weight, weight)), so adding up the files of a query's own pivots
+ranks the rows by footrule; a row that is in none of them has the largest distance there is.
+
+Rows lie in cells by their nearest pivot, and every cell has its own inverted files. A directory holds
+the largest weight of each file; a query goes to those cells only where the weights of its pivots'
+files can add up to its radius. The directory has at most pivots^2 bytes, whatever the table.
+
+Each query has a radius of its own: the footrule within which the share `rank share` of a bounded
+sample lies. The sample is part of the table, so no query is left with fewer than k candidates, however
+sparse its region is. The rank share is calibrated on the same sample so that `target` of the true
+neighbours lie within it, apart for queries in dense and in sparse regions (by the distance of the
+nearest pivot). There is no cap on candidates: all rows within the radius are reranked by exact distance.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import saved
-from .vectors import PARTIAL, cells, clean_vectors, exact_best, matrix, merged, nearest_rows, partial_table
+from .vectors import PARTIAL, cells, clean_vectors, exact_best, is_query, matrix, merged, nearest_rows, partial_table
+
+#: Shares of the sample, by distance of the nearest pivot, below which a query counts to a stratum.
+STRATA = (0.5, 0.75, 0.9, 0.95, 0.975)
+#: Queries that meet a cell in one task.
+_QUERY_BLOCK = 4096
 
 
-def weights(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """prefix - position of each pivot for each row, 0 for pivots beyond the prefix."""
-    out = np.zeros((len(x), len(pivots)), dtype=np.uint8 if prefix < 256 else np.uint16)
+def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the prefix nearest pivots, nearest first; squared distance of the nearest) of each row."""
+    out, nearest = np.zeros((len(x), prefix), dtype=np.int32), np.zeros(len(x))
+    squares = (pivots * pivots).sum(1)[None]
     for a in range(0, len(x), 4096):
         part = x[a : a + 4096]
-        order = np.argsort((pivots * pivots).sum(1)[None] - 2 * part @ pivots.T, axis=1, kind="stable")[:, :prefix]
-        np.put_along_axis(out[a : a + 4096], order, np.arange(prefix, 0, -1, dtype=out.dtype)[None].repeat(len(part), 0), axis=1)
-    return out
-
-
-def shared_weight(query: np.ndarray, files: np.ndarray) -> np.ndarray:
-    """Sum of the smaller weights over the pivots of the query, for each row of the inverted files.
-
-    files has a row for each pivot; a file holds a large share of its shard's rows, so it's stored as
-    a dense row in which 0 means "not posted"."""
-    held = np.flatnonzero(query)
-    total = np.zeros(files.shape[1], dtype=np.uint16 if len(query) * int(query.max(initial=0)) < 65_536 else np.uint32)
-    for a in range(0, len(held), 16):
-        p = held[a : a + 16]
-        total += np.minimum(files[p], query[p, None]).sum(axis=0, dtype=total.dtype)
-    return total
-
-
-def kth_weight(shared: np.ndarray, own: int | None, k: int) -> int:
-    """The k-th largest shared weight without the query's own row; 0 where there are fewer rows."""
-    others = shared if own is None else np.delete(shared, own)
-    return int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else 0
-
-
-def calibrate(x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, prefix: int, k: int, target: float, queries: int) -> tuple[int, int]:
-    """Least shared weight that the share `target` of the sample's true neighbours reaches, and by how much
-    that share of any one query's neighbours may stay below the query's k-th largest shared weight."""
-    w = weights(x, pivots, prefix)
-    files = np.ascontiguousarray(w.T)
-    seen, slack = [], 0
-    for i in np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int):
-        d2 = ((x - x[i]) ** 2).sum(axis=1)
-        d2[i] = np.inf
-        near = np.argsort(d2, kind="stable")[: min(k, len(x) - 1)]
-        shared = shared_weight(w[i], files)
-        seen.append(shared[near])
-        if len(near):
-            slack = max(slack, kth_weight(shared, i, len(near)) - int(np.sort(shared[near])[int((1 - target) * len(near))]))
-    values = np.sort(np.concatenate(seen)) if seen else np.zeros(1, int)
-    return (int(values[int((1 - target) * len(values))]) if len(values) else 0), slack
+        d2 = squares - 2 * part @ pivots.T
+        near = np.argpartition(d2, prefix - 1, axis=1)[:, :prefix]
+        near.sort(axis=1)  # equal distances by the pivot's number
+        order = np.argsort(np.take_along_axis(d2, near, 1), axis=1, kind="stable")
+        out[a : a + 4096] = np.take_along_axis(near, order, 1)
+        nearest[a : a + 4096] = d2.min(axis=1) + (part * part).sum(1)
+    return out, nearest
+
+
+class Files:
+    """Inverted files of some rows: for each pivot the rows that hold it and their weights."""
+
+    def __init__(self, perm: np.ndarray, pivots: int):
+        n, self.prefix = perm.shape
+        pivot = perm.ravel()
+        order = np.argsort(pivot, kind="stable")
+        self.rows, self.begin, self.size = (order // self.prefix).astype(np.int32), np.searchsorted(pivot[order], np.arange(pivots + 1)), n
+        self.weights = (self.prefix - order % self.prefix).astype(np.int32)
+
+    def largest(self) -> np.ndarray:
+        """The largest weight of each file, 0 for an empty one."""
+        out = np.zeros(len(self.begin) - 1, dtype=np.int32)
+        held = np.flatnonzero(np.diff(self.begin))
+        if len(held):
+            out[held] = np.maximum.reduceat(self.weights, self.begin[held])
+        return out
+
+    def shared(self, perm: np.ndarray) -> np.ndarray:
+        """Sum of the smaller weights over the pivots of a query, for each row."""
+        total = np.zeros(self.size, dtype=np.int32)
+        for position, pivot in enumerate(perm):
+            a, b = self.begin[pivot], self.begin[pivot + 1]
+            if a < b:  # a row is in a file once
+                total[self.rows[a:b]] += np.minimum(self.weights[a:b], self.prefix - position)
+        return total
+
+
+class Index:
+    """What the driver fits on the sample: pivots, the sample's files, and the rank share of each stratum."""
+
+    def __init__(self, x: np.ndarray, pivots: np.ndarray, prefix: int, k: int, target: float, queries: int):
+        self.pivots, self.prefix, self.k = pivots, min(prefix, len(pivots)), k
+        perm, nearest = permutations(x, pivots, self.prefix)
+        self.files = Files(perm, len(pivots))
+        self.edges = np.quantile(nearest, STRATA)
+        stratum = np.searchsorted(self.edges, nearest, side="left")
+        self.share = np.ones(len(STRATA) + 1)
+        squares = (x * x).sum(1)
+        for s in range(len(self.share)):
+            own = np.flatnonzero(stratum == s)
+            own = own[np.linspace(0, len(own) - 1, min(len(own), math.ceil(queries / len(self.share)))).astype(int)] if len(own) else own
+            needed = []
+            for i in own:
+                d2 = squares - 2 * x @ x[i]
+                d2[i] = np.inf
+                near = np.argsort(d2, kind="stable")[: min(k, len(x) - 1)]
+                shared = self.files.shared(perm[i])
+                needed += (np.searchsorted(np.sort(-shared), -shared[near], side="left") / len(x)).tolist()
+            if needed:
+                self.share[s] = np.sort(needed)[min(len(needed) - 1, int(target * len(needed)))]
+
+    def radius(self, perm: np.ndarray, nearest: float) -> int:
+        """Least shared weight of the query's candidates."""
+        shared = self.files.shared(perm)
+        rank = max(self.k, int(self.share[np.searchsorted(self.edges, nearest, side="left")] * len(shared)))
+        return 0 if rank >= len(shared) else int(np.partition(shared, len(shared) - 1 - rank)[len(shared) - 1 - rank])
 
 
 def neighbours(
-    table: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = 128, prefix: int = 64, target: float = 0.96, sample_rows: int = 20_000, sample_queries: int = 256, cell_rows: int = 8192
+    table: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = 512, prefix: int = 64, target: float = 0.98, sample_rows: int = 20_000, sample_queries: int = 600, cell_rows: int = 8192, query_every: int = 1
 ) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): up to k near other ids of every id.
+    """(query_id, rank, neighbor_id, distance): up to k near other ids of every id that query_every divides.
 
-    Pivots are the rows with the smallest hashes of their ids. Distances, ties, NULLs, broken vectors,
-    repeated ids and fewer than k rows are treated as in exact_topk.top_k; an empty table gives none.
-    A query has k rows wherever the table has as many other ids.
+    Pivots are the rows with the smallest hashes of their ids, a quarter of the table at most. Distances,
+    ties, NULLs, broken vectors, repeated ids and fewer than k rows are treated as in exact_topk.top_k; an
+    empty table gives none; columns other than the two are ignored. A query has k rows wherever the table
+    has as many other ids. Every row is indexed; pivots, sample_rows and sample_queries bound only what
+    the pivots and radii are fitted on.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if k < 1 or query_every < 1:
+        raise ValueError("k and query_every must be at least 1")
     spark = table.sparkSession
     rows, total, dims = clean_vectors(table, id_column, vector_column)
     if not total:
         return merged(spark.createDataFrame([], PARTIAL), k)
-    rows = saved(rows.withColumn("turn", F.xxhash64("id")))
-    sample = rows.orderBy("turn", "id").limit(sample_rows).toArrow()  # bounded by a parameter
-    x, ids = matrix(sample.column("v"), dims), sample.column("id").to_numpy()
-    chosen = np.unique(x, axis=0) if len(x) <= pivots else x[:pivots]
-    prefix = min(prefix, len(chosen))
-    least, slack = calibrate(x, ids, chosen, prefix, k, target, sample_queries)
-    held = spark.sparkContext.broadcast((chosen, least, slack))
-    count = cells(total, cell_rows)
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    home = F.pmod("turn", F.lit(count)).cast("int")
-    queries = rows.select(home.alias("q_cell"), every.alias("shard"), "id", "v")
-    posted = rows.select(every.alias("q_cell"), home.alias("shard"), "id", "v").toDF("for_cell", "in_shard", "other", "w")
+    rows = saved(rows)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()  # bounded by a parameter
+    x = matrix(sample.column("v"), dims)
+    few = max(1, min(pivots, total // 4))
+    chosen = np.unique(x, axis=0) if len(x) <= few else x[:few]
+    index = Index(x, chosen, prefix, k, target, sample_queries)
+    held = spark.sparkContext.broadcast(index)
+    count = len(index.pivots)
+
+    def post(batches):
+        for batch in batches:
+            if batch.num_rows:
+                perm, _ = permutations(matrix(batch.column("v"), dims), held.value.pivots, held.value.prefix)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.tobytes() for p in perm.astype("<i2")], pa.binary()), pa.array(perm[:, 0])], names=["id", "v", "perm", "home"])
+
+    posted = saved(rows.mapInArrow(post, "id bigint, v array<double>, perm binary, home int"))
+    # one row for each pivot at most; neighbouring small files are put together, large ones cut by a hash
+    sizes = np.zeros(count, dtype=np.int64)
+    for r in posted.groupBy("home").count().collect():
+        sizes[r["home"]] = r["count"]
+    group = np.floor(np.cumsum(np.append(0, sizes[:-1])) / cell_rows).astype(int)
+    group = np.unique(group, return_inverse=True)[1]
+    cuts = np.ceil(np.bincount(group, sizes) / (2.0 * cell_rows)).clip(1).astype(int)
+    grouped = spark.sparkContext.broadcast((group, cuts))
+
+    def decode(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype="<i2").reshape(-1, held.value.prefix).astype(np.int32)
+
+    def directory(batches):
+        most: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                perm, cell = decode(batch.column("perm")), grouped.value[0][np.asarray(batch.column("home"))]
+                for g in np.unique(cell):
+                    own = Files(perm[cell == g], count).largest()
+                    most[int(g)] = np.maximum(most.get(int(g), 0), own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()), pa.array([m.astype("<i2").tobytes() for m in most.values()], pa.binary())], names=["cell", "most"])
+
+    def widest(t: pa.Table) -> pa.Table:
+        every = np.stack([np.frombuffer(m, dtype="<i2") for m in t.column("most").to_pylist()])
+        return pa.table({"cell": t.column("cell").slice(0, 1), "most": pa.array([every.max(axis=0).tobytes()], pa.binary())})
+
+    most = np.zeros((len(cuts), count), dtype=np.int32)  # at most pivots^2 entries
+    for r in posted.mapInArrow(directory, "cell int, most binary").groupBy("cell").applyInArrow(widest, "cell int, most binary").collect():
+        most[r.cell] = np.frombuffer(r.most, dtype="<i2")
+    listed = spark.sparkContext.broadcast(most)
+
+    def route(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column("id"))
+            batch = batch.filter(pa.array(is_query(ids, query_every)))
+            if not batch.num_rows:
+                continue
+            perm, nearest = permutations(matrix(batch.column("v"), dims), held.value.pivots, held.value.prefix)
+            weight = held.value.prefix - np.arange(held.value.prefix)
+            row, to, least = [], [], []
+            for i in range(len(perm)):
+                radius = held.value.radius(perm[i], nearest[i])
+                go = np.flatnonzero(np.minimum(listed.value[:, perm[i]], weight).sum(axis=1) >= radius)
+                row += [i] * len(go)
+                to += go.tolist()
+                least += [radius] * len(go)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), batch.column("perm").take(at), pa.array(least, pa.int32()), pa.array(to, pa.int32())], names=["id", "v", "perm", "least", "cell"])
+
+    going = saved(posted.mapInArrow(route, "id bigint, v array<double>, perm binary, least int, cell int"))
+    asked = np.zeros(len(cuts), dtype=np.int64)
+    for r in going.groupBy("cell").count().collect():  # one row for each cell, as many as pivots at most
+        asked[r["cell"]] = r["count"]
+    chunks = np.ceil(asked / _QUERY_BLOCK).astype(int)
+    # (cell, cut, chunk): each cut of a cell meets each chunk of the queries that go there
+    by_cell = F.broadcast(spark.createDataFrame([(c, int(cuts[c]), int(chunks[c])) for c in range(len(cuts)) if chunks[c]], "at int, cuts int, chunks int"))
+    by_home = F.broadcast(spark.createDataFrame([(p, int(g), int(cuts[g]), int(chunks[g])) for p, g in enumerate(group) if chunks[g]], "pivot int, x_cell int, cuts int, chunks int"))
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q_side = going.join(by_cell, F.col("cell") == F.col("at")).select("id", "v", "perm", "least", "cell", slot("chunks").alias("chunk"), upto("cuts").alias("cut"))
+    x_side = posted.join(by_home, F.col("home") == F.col("pivot")).select("x_cell", slot("cuts").alias("x_cut"), upto("chunks").alias("x_chunk"), F.col("id").alias("other"), F.col("v").alias("w"), F.col("perm").alias("x_perm"))
 
     def compare(q: pa.Table, x: pa.Table) -> pa.Table:
-        pivot_rows, least, slack = held.value
         qv, xv = matrix(q.column("v"), dims), matrix(x.column("w"), dims)
-        q_ids, x_ids = q.column("id").to_numpy(), x.column("other").to_numpy()
-        wq, files = weights(qv, pivot_rows, prefix), np.ascontiguousarray(weights(xv, pivot_rows, prefix).T)
+        q_ids, x_ids, least = q.column("id").to_numpy(), x.column("other").to_numpy(), q.column("least").to_numpy()
+        files = Files(decode(x.column("x_perm")), count)
         squares = (xv * xv).sum(1)
         best = []
-        for i in range(len(qv)):
-            shared = shared_weight(wq[i], files)
-            own = np.flatnonzero(x_ids == q_ids[i])
-            at = np.flatnonzero(shared >= max(0, min(least, kth_weight(shared, int(own[0]) if len(own) else None, k) - slack)))
+        for i, perm in enumerate(decode(q.column("perm"))):
+            at = np.flatnonzero(files.shared(perm) >= least[i])
             at = at[x_ids[at] != q_ids[i]]
             if len(at) > 4 * k:
                 at = at[nearest_rows(squares[at] - 2 * (xv[at] @ qv[i]), k, 3e-9 + 1e-12 * float(squares.max()))]
             best.append(exact_best(qv[i], q_ids[i], xv[at], x_ids[at], k))
         return partial_table(q_ids.tolist(), best)
 
-    partial = queries.groupBy("q_cell", "shard").cogroup(posted.groupBy("for_cell", "in_shard")).applyInArrow(compare, PARTIAL)
+    partial = q_side.groupBy("cell", "cut", "chunk").cogroup(x_side.groupBy("x_cell", "x_cut", "x_chunk")).applyInArrow(compare, PARTIAL)
     return merged(partial, k)

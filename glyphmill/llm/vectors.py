@@ -31,6 +31,11 @@ def clean_vectors(table: DataFrame, id_column: str, vector_column: str) -> tuple
     return rows.filter(F.size("v") == top.n).groupBy("id").agg(F.min("v").alias("v")), top.c, top.n
 
 
+def is_query(ids: np.ndarray, every: int) -> np.ndarray:
+    """The stated query set: ids that `every` divides, all of them where it is 1."""
+    return ids % every == 0
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     parts = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for c in chunks]

@@ -113,11 +113,44 @@ def test_permutation_recall_where_rows_are_sparse(spark):
 def test_footrule():
     rng = np.random.default_rng(2)
     x, pivots = rng.normal(size=(20, 5)), rng.normal(size=(9, 5))
-    w = permutation_ann.weights(x, pivots, 4)
+    perm, _ = permutation_ann.permutations(x, pivots, 4)
+    assert (perm == np.argsort(((x[:, None] - pivots[None]) ** 2).sum(-1), axis=1)[:, :4]).all()
+    w = np.zeros((20, 9), dtype=int)
+    np.put_along_axis(w, perm, np.arange(4, 0, -1)[None].repeat(20, 0), axis=1)
+    files = permutation_ann.Files(perm, 9)
+    assert (files.largest() == w.max(axis=0)).all()
     for i in range(20):
-        shared = permutation_ann.shared_weight(w[i], np.ascontiguousarray(w.T))
-        footrule = np.abs(w[i].astype(int) - w.astype(int)).sum(1)
-        assert (footrule == 4 * 5 - 2 * shared.astype(int)).all()
+        assert (np.abs(w[i] - w).sum(1) == 4 * 5 - 2 * files.shared(perm[i])).all()
+
+
+@pytest.mark.parametrize("search", [exact_topk.top_k, permutation_ann.neighbours])
+def test_stated_queries_and_clashing_columns(spark, search):
+    """Queries are the ids that a number divides, against all rows; other columns may have any names."""
+    df, x = vectors(spark, 90)
+    for name in (*EXTRA, "cell", "leaf", "perm", "home", "w", "other"):
+        df = df.withColumn(name, F.lit(1))
+    asked = as_lists(search(df, 4, cell_rows=20, query_every=7))
+    assert set(asked) == set(range(0, 90, 7)) and all(len(v) == 4 for v in asked.values())
+    if search is exact_topk.top_k:
+        assert asked == {i: v for i, v in brute(x, 4).items() if i % 7 == 0}
+
+
+def test_boxes_prune_cells_and_lose_nothing(spark):
+    """Clustered rows: far cells are left out, and what is left holds every neighbour."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(8, 16)) * 10
+    x = (centres[np.arange(400) % 8] + rng.normal(size=(400, 16)) * 0.1).round(4).astype(np.float32).astype(float)
+    tree = exact_topk.Tree(exact_topk.statistics(x, 4), 8)
+    leaf = tree.leaf(exact_topk.statistics(x, 4))
+    boxes = np.stack([exact_topk._box(x[leaf == i]) for i in np.unique(leaf)])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    bound = np.sort(d2, axis=1)[:, 5]
+    alive = exact_topk.reached(x, bound, boxes)
+    for j, i in enumerate(np.unique(leaf)):
+        assert (alive[:, j] | ~(d2[:, leaf == i] <= bound[:, None]).any(axis=1)).all()
+    assert alive.mean() < 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    assert as_lists(exact_topk.top_k(df, 5, cell_rows=50)) == brute(x, 5)
 
 
 # 2: secrets
