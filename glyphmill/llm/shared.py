@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,23 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*[df[f"`{c}`"] for c in columns])
+
+
+class Folder:
+    """A folder of tables in the shared folder, for what one query writes and reads again."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The rows as a table that is read from here on; its schema is known, so reading it costs no job."""
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def remove(self, *names: str) -> None:
+        """Deletes these tables, or the whole folder where none is named."""
+        context = self.spark.sparkContext
+        for name in names or ("",):
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -417,45 +417,75 @@ def test_count_codec():
 # 8: packing
 
 
-def brute_pack(docs, window, k1=1.2, b=0.75):
-    """Packs one shard of (doc_id, words) in the order of ids."""
+def brute_pack(docs, pri, window, rounds=2, passes=3, k1=1.2, b=0.75):
+    """Windows of (doc, words) by plain loops over documents; pri has each document's hash."""
     n, mean = len(docs), sum(len(w) for _, w in docs) / len(docs)
-    df = collections.Counter(t for _, w in docs for t in set(w))
+    count = [collections.Counter(w) for _, w in docs]
+    df = collections.Counter(t for c in count for t in c)
     idf = {t: max(0.0, float(np.float32(math.log((n - c + 0.5) / (c + 0.5))))) for t, c in df.items()}
-    packs, free = [], {}
-    for d, w in docs:
-        packs += [[(d, s, window)] for s in range(0, len(w) - len(w) % window, window)]
+    level = {t: math.ceil(math.log(c, 4) - 1e-9) for t, c in df.items()}
+
+    def weight(t, i):
+        tf = count[i][t]
+        return float(np.float32(idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(docs[i][1]) / mean))))
+
+    packs, free, packed = [], {}, {}
+    for i, (_, w) in enumerate(docs):
+        packs += [[i]] * (len(w) // window)
         if len(w) % window:
-            free[d] = len(w) % window
-    by_id = dict(docs)
-    for d, w in docs:
-        if d not in free:
-            continue
-        room = window - free[d]
-        pack = [(d, len(w) - free[d], free.pop(d))]
-
-        def score(o, mine=frozenset(w)):
-            c = collections.Counter(by_id[o])
-            return sum(idf[t] * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * len(by_id[o]) / mean)) for t in mine if c[t])
-
-        for _, o in sorted((-score(o), o) for o in free if score(o) > 0):
-            if free[o] <= room:
-                room -= free[o]
-                pack.append((o, len(by_id[o]) - free[o], free[o]))
-        for o, _, _ in pack[1:]:
-            free.pop(o)
-        packs.append(pack)
-    return packs
-
-
-def test_packing_is_brute_force(spark):
+            free[i] = len(w) % window
+    spent = 0.0
+    for nth in range(passes):
+        if not free:
+            break
+        share = min(1.0, math.ceil(sum(free.values()) / window) / len(free))
+        spent = share + (1 - share) * spent if nth else share
+        room = {i: window - free[i] for i in free if float(pri[i] % (1 << 64)) < spent * 2.0**64}
+        free = {i: x for i, x in free.items() if i not in room}
+        packed |= {i: [i] for i in room}
+        sums = collections.defaultdict(float)
+        for at in range(1, math.ceil(math.log(max(2, n // 2), 4) - 1e-9) + 1):
+            sums = collections.defaultdict(float, {(s, d): x for (s, d), x in sums.items() if d in free and free[d] <= room[s]})
+            for s in room:
+                for d in free:
+                    x = [weight(t, d) for t in count[s] if t in count[d] and df[t] > 1 and level[t] == at and idf[t] > 0]
+                    if x and free[d] <= room[s]:
+                        sums[s, d] += sum(x)
+            for _ in range(rounds):
+                suitors = collections.defaultdict(list)
+                for d in list(free):
+                    fits = [(round(x, 9), -pri[s], s) for (s, e), x in sums.items() if e == d and free[d] <= room[s]]
+                    if fits:
+                        x, _, s = max(fits)
+                        suitors[s].append((-x, pri[d], d))
+                for s, order in suitors.items():
+                    for _, _, d in sorted(order):
+                        if free[d] <= room[s]:
+                            room[s] -= free.pop(d)
+                            packed[s].append(d)
+    return packs + list(packed.values()) + [[i] for i in free]
+
+
+def packs_of(df):
+    out = collections.defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.pack_id, r.slot)):
+        assert r.slot == len(out[r.pack_id])
+        out[r.pack_id].append(r.doc_id)
+    return sorted(out.values())
+
+
+@pytest.mark.parametrize("docs, kinds, window", [(50, 97, 40), (240, 997, 100)])
+def test_packing_is_brute_force(spark, monkeypatch, docs, kinds, window):
     rng = np.random.default_rng(5)
-    docs = [(i, [f"t{int(x)}" for x in rng.zipf(1.4, int(rng.integers(1, 60))) % 97]) for i in range(50)]
-    out = packing.pack_documents(docs_of(spark, [(i, " ".join(w)) for i, w in docs]), window=40).orderBy("pack_id", "slot").collect()
-    packs = collections.defaultdict(list)
-    for r in out:
-        packs[r.pack_id].append((r.doc_id, r.start_word, r.n_words))
-    assert sorted(packs.values()) == sorted(brute_pack(docs, 40))
+    docs = [(i, [f"t{int(x)}" for x in rng.zipf(1.4, int(rng.integers(1, 60))) % kinds]) for i in range(docs)]
+    table = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
+    pri = {r.doc_id: r.pri for r in table.select("doc_id", F.xxhash64("doc_id", "text").alias("pri")).collect()}
+    want = sorted(brute_pack(docs, pri, window))
+    assert packs_of(packing.pack_documents(table, window=window)) == want
+    # shards, blocks and parts are only how the work is spread
+    for name, value in (("_SHARD_BYTES", 500), ("_WORDS", 100), ("_LIST", 8), ("_PAIRS", 50)):
+        monkeypatch.setattr(packing, name, value)
+    assert packs_of(packing.pack_documents(table.repartition(3), window=window)) == want
 
 
 def test_packing_edges(spark):
@@ -469,22 +499,12 @@ def test_packing_edges(spark):
         full[r.pack_id] += r.n_words
     assert max(full.values()) <= 1000
     assert packing.pack_documents(docs_of(spark, [])).collect() == []
+    assert packing.pack_documents(docs_of(spark, [(1, None), (2, " ")])).collect() == []
     many = docs_of(spark, [(i, f"w{i} x{i % 7} y") for i in range(300)])
-    placed = packing.pack_documents(many, window=16, shard_docs=50).collect()
+    placed = packing.pack_documents(many, window=16).collect()
     assert sorted(r.doc_id for r in placed) == list(range(300))
-
-
-def test_packing_is_the_same_for_any_shards(spark, monkeypatch):
-    rng = np.random.default_rng(6)
-    docs = [(i, [f"t{int(x)}" for x in rng.zipf(1.4, int(rng.integers(1, 60))) % 997]) for i in range(240)]
-    table = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
-    monkeypatch.setattr(packing, "_SEARCHED", 80)
-    for entries in (packing._ENTRIES, 6000):  # and with lists that are cut
-        monkeypatch.setattr(packing, "_ENTRIES", entries)
-        packs = collections.defaultdict(list)
-        for r in packing.pack_documents(table, window=100, shard_docs=40).orderBy("pack_id", "slot").collect():
-            packs[r.pack_id].append((r.doc_id, r.start_word, r.n_words))
-        assert sorted(packs.values()) == sorted(brute_pack(docs, 100))
+    same = packing.pack_documents(docs_of(spark, [(1, "a b c"), (2, "x y z")] * 40), window=10).collect()
+    assert collections.Counter(r.doc_id for r in same) == {1: 40, 2: 40} and len({(r.pack_id, r.slot) for r in same}) == 80
 
 
 # 9: SentencePiece
