@@ -1,7 +1,8 @@
 """Two byte n-gram models, one for each class, compared by their log-likelihood ratio.
 
-Both classes are smoothed towards ONE shared distribution at the lowest order, so an expression that
-neither class has seen adds nothing to either side. For every n-gram that any class holds, the
+Both classes are smoothed towards ONE shared chain of lower orders, whose counts are those of both
+classes' texts together, so an expression that neither class has seen adds nothing to either side, and
+one that is rare in both is spelled by what they share. For every n-gram that any class holds, the
 difference of the two log-probabilities is worked out at fitting time; scoring then needs a single
 lookup for each byte and order. An n-gram of up to 7 bytes is its own key, so nothing collides.
 """
@@ -45,14 +46,17 @@ class RatioModel:
     left neighbours below it, one discount for each order and class from its counts of 1 and 2.
     smoothing "witten_bell": raw counts; a context that occurs fewer than `min_context` times in
     both classes together is left out, so the order varies with what is known.
+    Orders up to `shared` have the same counts for both classes.
     """
 
-    def __init__(self, order: int = 5, smoothing: str = "kneser_ney", min_context: int = 1):
+    def __init__(self, order: int = 5, smoothing: str = "kneser_ney", min_context: int = 1, shared: int = 1):
         if not 2 <= order <= 7:
             raise ValueError("order must lie between 2 and 7")
+        if not 1 <= shared < order:
+            raise ValueError("shared must lie between 1 and order - 1")
         if smoothing not in ("kneser_ney", "witten_bell"):
             raise ValueError(f"unknown smoothing {smoothing}")
-        self.order, self.smoothing, self.min_context = order, smoothing, min_context
+        self.order, self.smoothing, self.min_context, self.shared = order, smoothing, min_context, shared
 
     def _counts(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(keys, counts) for orders 1 to the highest; grams that end in padding are left out."""
@@ -80,8 +84,9 @@ class RatioModel:
         self.values: list[np.ndarray] = [np.zeros(256)]
         self.backoffs: list[np.ndarray] = []
         self.at_start: list[float] = []
+        pooled = self._counts([*first, *second]) if self.shared > 1 else []
         for n in range(2, self.order + 1):
-            pairs = [c[n - 1] for c in by_class]
+            pairs = [pooled[n - 1]] * 2 if n <= self.shared else [c[n - 1] for c in by_class]
             union = np.union1d(pairs[0][0], pairs[1][0])
             context, group = np.unique(union >> np.uint64(8), return_inverse=True)
             counts = [_aligned(union, *p) for p in pairs]
@@ -131,16 +136,19 @@ class RatioModel:
         rows = data.astype(np.int64)
         ratio = np.zeros(len(data))
         for n in range(2, self.order + 1):
-            backoff = self.backoffs[n - 2]
-            before = np.full(len(data), -1, dtype=np.int64)
-            before[1:] = rows[:-1]
-            ratio += np.where(before >= 0, backoff[before], 0.0)
-            if n > 2:
-                ratio[1:][data[:-1] == 0] += self.at_start[n - 2]
+            if n < self.shared:
+                continue  # no difference there; the next order needs only the rows of its contexts
+            if n > self.shared:
+                before = np.full(len(data), -1, dtype=np.int64)
+                before[1:] = rows[:-1]
+                ratio += np.where(before >= 0, self.backoffs[n - 2][before], 0.0)
+                if n > 2:
+                    ratio[1:][data[:-1] == 0] += self.at_start[n - 2]
             keys = _grams(data, n)
             rows = np.full(len(data), -1, dtype=np.int64)
             rows[n - 1 :] = self.tables[n - 1].find(keys)
-            ratio = np.where(rows >= 0, self.values[n - 1][rows], ratio)
+            if n > self.shared:
+                ratio = np.where(rows >= 0, self.values[n - 1][rows], ratio)
         ratio[data == 0] = 0.0
         return ratio[skip : skip + total]
 

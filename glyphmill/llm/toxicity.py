@@ -2,7 +2,8 @@
 
 A toxic and an ordinary model are fitted on labelled documents; a document's score is the mean
 log-likelihood ratio of its bytes, and a threshold calibrated on held-out labelled rows decides.
-Both models end in one shared backoff distribution, so strings that neither class knows are neutral.
+Orders 3 to 5 are of a class; below them both models back off to one chain of continuation counts over
+the texts of both classes, so that strings which are rare in both are neutral.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.lower().encode("utf-8", "surrogatepass")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> list[tuple[bytes, bool]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[bytes, bool]]:
     """Whole texts of at most per_class labelled documents of each class, in order of a hash of doc_id.
 
-    A document with contradicting labels counts as toxic; rows with NULLs are left out; of repeated
-    documents one is taken. Documents beyond `max_bytes` for a class in that order are left out whole.
+    A document with contradicting labels counts as toxic; rows with NULLs and empty texts are left out; of
+    several texts under one doc_id the smallest is taken. The driver holds these texts and no others.
     """
     flat = only(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("turn", F.xxhash64("doc_id"))
     picked = None
@@ -34,45 +35,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_byte
         part = flat.filter(F.col("toxic") == toxic).orderBy("turn", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # the sample is bounded by 2 * per_class rows of ids, so it may be broadcast at any corpus size
-    rows = only(docs, "doc_id", "text").dropna().join(F.broadcast(picked), "doc_id").orderBy("turn", "doc_id").select("doc_id", "text", "toxic").toLocalIterator(prefetchPartitions=False)
-    seen: set[int] = set()
-    left = {0: max_bytes, 1: max_bytes}
-    out = []
-    for row in rows:
-        data = as_bytes(row.text)
-        if row.doc_id in seen or not data or len(data) > left[row.toxic]:
-            continue
-        seen.add(row.doc_id)
-        left[row.toxic] -= len(data)
-        out.append((data, bool(row.toxic)))
-    return out
-
-
-def fit(sample: list[tuple[bytes, bool]], order: int = 5, held_out: int = 5) -> tuple[RatioModel, float]:
+    found = only(docs, "doc_id", "text").dropna().filter(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
+    rows = found.groupBy("turn", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(as_bytes(r.text), bool(r.toxic)) for r in sorted(rows, key=lambda r: (r.turn, r.doc_id))]
+
+
+def fit(sample: list[tuple[bytes, bool]], order: int = 5, shared: int = 2, held_out: int = 5) -> tuple[RatioModel, float]:
     """Models from all but every held_out-th row of each class, and the threshold from those rows."""
     sides = {True: [], False: []}
     for data, toxic in sample:
         sides[toxic].append(data)
     test = {k: v[held_out - 1 :: held_out] for k, v in sides.items()}
     train = {k: [x for i, x in enumerate(v) if i % held_out != held_out - 1] for k, v in sides.items()}
-    model = RatioModel(order, "kneser_ney").fit(train[True], train[False])
+    model = RatioModel(order, "kneser_ney", shared=shared).fit(train[True], train[False])
     held = test[True] + test[False]
     y = np.array([True] * len(test[True]) + [False] * len(test[False]))
     return model, best_threshold(model.score(held), y)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, order: int = 5, per_class: int = 2000, max_bytes: int = 12_000_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 2, per_class: int = 2000) -> DataFrame:
     """(doc_id, llr, is_toxic) for every row of docs.
 
     docs needs doc_id and text; labels needs doc_id and toxic; other columns of either are ignored.
     A NULL or empty text has llr NULL and is not toxic, and so has every row when no class or only
     one class is labelled. A score equal to the threshold is not toxic. Repeated rows are scored
-    one by one; NULL ids are carried through; whole texts are scored whatever their length.
+    one by one; NULL ids are carried through; whole texts are scored whatever their length. The models
+    are fitted on at most per_class labelled documents of each class.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, per_class, max_bytes)
+    sample = labelled_sample(docs, labels, per_class)
     fitted = len({toxic for _, toxic in sample}) == 2
-    held = spark.sparkContext.broadcast(fit(sample, order) if fitted else None)
+    held = spark.sparkContext.broadcast(fit(sample, order, shared) if fitted else None)
 
     def run(batches):
         for batch in batches:
@@ -91,17 +84,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, order: int = 5, per_class
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 2, per_class: int = 2000) -> DataFrame:
     """Rows of docs that aren't rejected, with their columns; the text is scored within one pass.
 
     A NULL or empty text stays. Extra columns are carried, whatever their names.
     """
     spark = docs.sparkSession
-    order = options.pop("order", 5)
-    sample = labelled_sample(docs, labels, options.pop("per_class", 2000), options.pop("max_bytes", 12_000_000))
+    sample = labelled_sample(docs, labels, per_class)
     if len({toxic for _, toxic in sample}) < 2:
         return docs
-    held = spark.sparkContext.broadcast(fit(sample, order))
+    held = spark.sparkContext.broadcast(fit(sample, order, shared))
 
     def run(batches):
         for batch in batches:

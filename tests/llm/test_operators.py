@@ -223,7 +223,7 @@ def test_secret_rows(spark):
 # 3 and 5: ratio models
 
 
-def brute_ratio(model_texts, order, smoothing, text):
+def brute_ratio(model_texts, order, smoothing, text, shared=1):
     """Plain recursion over strings of bytes."""
 
     def counts(texts, n):
@@ -234,13 +234,16 @@ def brute_ratio(model_texts, order, smoothing, text):
                 c[padded[i - n + 1 : i + 1]] += 1
         return c
 
-    raw = [[counts(texts, n) for n in range(1, order + 1)] for texts in model_texts]
+    raw = [[counts(texts, n) for n in range(1, order + 1)] for texts in (*model_texts, model_texts[0] + model_texts[1])]
     levels = []
     for own in raw:
         if smoothing == "witten_bell":
             levels.append(own)
         else:
             levels.append([collections.Counter(g[-n:] for g in own[n]) for n in range(1, order)] + [own[-1]])
+    together = levels.pop()
+    for side in levels:
+        side[1:shared] = together[1:shared]
     pooled = collections.Counter({b: 0.5 for b in range(256)})
     for side in levels:
         for g, n in side[0].items():
@@ -270,10 +273,10 @@ def brute_ratio(model_texts, order, smoothing, text):
 @pytest.mark.parametrize("smoothing", ["kneser_ney", "witten_bell"])
 def test_ratio_model_is_brute_force(smoothing):
     first, second = [b"you idiot moron", b"an idiot said", b"stupid"], [b"a fine day", b"the day is fine", b"said the man"]
-    for order in (2, 3, 5):
-        model = RatioModel(order, smoothing).fit(first, second)
+    for order, shared in ((2, 1), (3, 1), (5, 1), (3, 2), (5, 2), (5, 3)):
+        model = RatioModel(order, smoothing, shared=shared).fit(first, second)
         for text in (b"idiot", b"a fine man", b"zzz", b"the idiots said"):
-            assert model.score([text])[0] == pytest.approx(brute_ratio((first, second), order, smoothing, text), abs=1e-9)
+            assert model.score([text])[0] == pytest.approx(brute_ratio((first, second), order, smoothing, text, shared), abs=1e-9)
     assert np.isnan(model.score([b""])[0])
 
 
@@ -308,14 +311,33 @@ def test_toxicity(spark):
 
 
 def test_toxicity_on_held_out_documents(spark):
-    """Fitted on labelled rows with even ids, held against those with odd ids. Some hundreds of toxic rows
-    are too few for this data (README); here there are about a thousand of each."""
-    where = "/root/testdata/check_s"
-    labels = spark.read.parquet(f"{where}/labels.parquet")
-    docs = spark.read.parquet(f"{where}/documents.parquet").join(labels.select("doc_id"), "doc_id")
-    held = toxicity.score_toxicity(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
-    share = {r.toxic: r.share for r in held.groupBy("toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("share")).collect()}
-    assert share[1] > 0.9 and share[0] < 0.05
+    """Fitted on labelled rows with even ids, held against those with odd ids: a few insults in prose of
+    invented words, a thousand documents of each class."""
+    rng = np.random.default_rng(1)
+    syllables = ["ti", "on", "er", "ha", "wh", "re", "ble", "nd", "ly", "ou", "st", "th"]
+    bad = ["trash", "pathetic", "idiot", "worthless", "clown", "moron"]
+    rows = []
+    for i in range(4000):
+        text = ["".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(int(rng.integers(40, 200)))]
+        if i % 4 < 2:
+            for at in rng.choice(len(text), max(1, len(text) // 50), replace=False):
+                text[at] = str(rng.choice(bad))
+        rows.append((i, " ".join(text)))
+    labels = labels_of(spark, [(i, 1, int(i % 4 < 2)) for i in range(0, 4000, 2)])
+    held = [r for r in toxicity.score_toxicity(docs_of(spark, rows), labels).collect() if r.doc_id % 2]
+    assert np.mean([r.is_toxic for r in held if r.doc_id % 4 < 2]) > 0.9
+    assert np.mean([r.is_toxic for r in held if r.doc_id % 4 >= 2]) < 0.05
+
+
+def test_toxicity_sample(spark):
+    """Bounded by rows alone, long texts among them; contradicting labels count as toxic."""
+    rows = [(i, f"text {i} " + "long " * (50_000 if i == 3 else 1)) for i in range(40)] + [(1, "a smaller text"), (2, None), (4, "")]
+    labels = [(i, 1, i % 2) for i in range(40)] + [(6, 1, 1), (7, 1, 0)]
+    sample = toxicity.labelled_sample(docs_of(spark, rows), labels_of(spark, labels), 100)
+    assert collections.Counter(t for _, t in sample) == {True: 21, False: 19} and (b"a smaller text", True) in sample
+    assert any(len(x) > 200_000 for x, _ in sample)
+    few = toxicity.labelled_sample(docs_of(spark, rows), labels_of(spark, labels), 5)
+    assert collections.Counter(t for _, t in few) == {True: 5, False: 5} and set(few) <= set(sample)
 
 
 def test_url_filter(spark, sf):
