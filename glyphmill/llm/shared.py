@@ -54,3 +54,7 @@ class Folder:
         for name in names or ("",):
             path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def freed(self) -> None:
+        """Lets Spark's cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
