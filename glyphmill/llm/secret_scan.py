@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -23,16 +24,24 @@ from .shared import only
 from .textutil import text_steps
 
 #: What the JVM looks for first; a text without it can hold no secret of the kinds below.
-PREFILTER = r"[A-Za-z0-9+/_-]{16}|PRIVATE KEY-----"
-
-_RUN = re.compile(
-    r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s,:.\\-]*?)-----END (?P=label)-----"
-    r"|(?P<run>(?:[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)?)={0,2})"
-)
-#: Secrets with a fixed start, wherever no letter or digit stands before them.
-_START = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?=e[wy])[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)")
+PREFILTER = r"[A-Za-z0-9+/_-]{16}|PRIVATE KEY-----|30:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:"
+
+#: An armoured key; a body holds no "--", so that no begin line is searched past the next one.
+_PEM = re.compile(r"-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>(?:[A-Za-z0-9+/=\s,:.\\]|-(?!-))*+)-----END (?P=label)-----")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Secrets with a fixed start, wherever no letter or digit stands beside them.
+_FIXED = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
+_LINE, _WRAP, _PAD = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]{0,16}"), re.compile("={0,2}")
+_LINES = re.compile(rf"{_LINE.pattern}(?:{_WRAP.pattern}{_LINE.pattern})*+")
+_MAGIC = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]{24,}")
+_HEADER = re.compile(r"(?<![A-Za-z0-9])e[wy]")
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])30:(?:[0-9A-Fa-f]{2}:\s{0,40})++[0-9A-Fa-f]{2}(?![0-9A-Fa-f])")
+#: Starts of an encoded key within or at the start of a run: a DER sequence or OpenSSH's magic.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:M[A-Z]|b3BlbnNzaC1rZXktdjEA|30)")
+#: Characters of a token's header, and decoded bytes of an opaque value or an encoded key, at most.
+_MOST_HEADER, _MOST_OPAQUE, _MOST_KEY = 4096, 4096, 12_288
 _NAMED = re.compile(r"(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|encryption[_-]?key)[\"']?\s{0,4}(?:=>|:=|[:=])\s{0,4}[\"']?$", re.IGNORECASE)
-_FIXED = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA|gh[pousr]_|e[wy])")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){8,}|(?:[0-9A-F]{2}){8,}")
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _SIGNATURE = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | dict.fromkeys(("RS256", "RS384", "RS512", "PS256", "PS384", "PS512"), (128, 1024))
@@ -176,22 +185,11 @@ def opaque(text: str) -> tuple[str, int] | None:
     return ("base64", len(data)) if data and len(data) >= 12 and len(set(data)) * 2 >= min(len(data), 16) else None
 
 
-def confirm(text: str, label: str | None, body: str | None, before: str) -> tuple[str, str, int] | None:
-    """(kind, detail, decoded bytes) of one candidate, or None."""
-    if label is not None:
-        lines = [x for x in re.split(r"(?:\\[rn]|\s)+", body) if x and ":" not in x and "," not in x]
-        data = from_base64("".join(lines))
-        kind = data and (private_der(data) or openssh_key(data))
-        if kind:
-            return kind, "pem", len(data)
-        if data and "ENCRYPTED" in body and len(data) >= 64 and len(data) % 8 == 0:
-            return "encrypted_private_key", "pem", len(data)
-        return None
+def confirm(text: str) -> tuple[str, str, int] | None:
+    """(kind, detail, decoded bytes) of one whole candidate, or None."""
     if "." in text:
         found = signed_token(text)
-        if found:
-            return "signed_token", found[0], found[1]
-        text = text.split(".", 1)[0]
+        return ("signed_token", *found) if found else None
     account = access_key_id(text)
     if account:
         return "access_key_id", account, 10
@@ -202,68 +200,156 @@ def confirm(text: str, label: str | None, body: str | None, before: str) -> tupl
     else:
         data, how = from_base64(text) if len(text) >= 40 else None, "base64"
     kind = data and (private_der(data) or openssh_key(data))
+    return (kind, how, len(data)) if kind else None
+
+
+def confirm_pem(body: str) -> tuple[str, str, int] | None:
+    """The same for what stands between the lines of an armoured key."""
+    lines = [x for x in re.split(r"(?:\\[rn]|\s)+", body) if x and ":" not in x and "," not in x]
+    data = from_base64("".join(lines))
+    kind = data and (private_der(data) or openssh_key(data))
     if kind:
-        return kind, how, len(data)
-    if _NAMED.search(before):
-        found = opaque(text)
-        if found:
-            return "named_secret", found[0], found[1]
+        return kind, "pem", len(data)
+    if data and "ENCRYPTED" in body and len(data) >= 64 and len(data) % 8 == 0:
+        return "encrypted_private_key", "pem", len(data)
     return None
 
 
-def _within(text: str, before: str) -> list[tuple[int, tuple[str, str, int]]]:
-    """(start, secret) of the first part of a run that begins after '/', '-', '_' or '+' and goes to its end."""
-    named = bool(_NAMED.search(before))
-    for m in re.finditer(r"[/_+-](?=[A-Za-z0-9])", text.split(".", 1)[0]):
-        part = text[m.end() :]
-        if (named or part.startswith(("M", "b3Bl", "30"))) and len(part.split(".", 1)[0]) >= 16:
-            found = confirm(part, None, None, before)
+def _der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that begins so, 0 where none does."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 3:
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _key_at(text: str, at: int) -> tuple[int, tuple[str, str, int]] | None:
+    """(length, secret) of an encoded key that begins at a position. The encoded length is in its head, so
+    that only that much is decoded; base64 may be wrapped."""
+    head = text[at : at + 8]
+    if head.startswith("30"):
+        try:
+            size = 2 * _der_size(bytes.fromhex(text[at : at + 16]))
+        except ValueError:
+            size = 0
+        part = text[at : at + size]
+        if 32 <= size <= 2 * _MOST_KEY and len(part) == size and not text[at + size : at + size + 1].isalnum():
+            found = confirm(part)
+            return (size, found) if found else None
+    if head.startswith("b3Bl"):
+        m = _MAGIC.match(text, at, at + 2 * _MOST_KEY)
+        found = confirm(m.group())
+        return (len(m.group()), found) if found else None
+    if not head.startswith("M"):
+        return None
+    head = _WRAP.sub("", text[at : at + 40])[:16]
+    data = from_base64(head) if len(head) == 16 else None
+    size = _der_size(data) if data else 0
+    inner = data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0) :] if 12 <= size <= _MOST_KEY else b""
+    if not inner.startswith((b"\2\1\0", b"\2\1\1", b"\x30")):  # a version or an algorithm comes first in every kind
+        return None
+    left, end = (size * 8 + 5) // 6, at
+    body = _WRAP.sub("", _LINES.match(text, at, at + 2 * left + 64).group())
+    found = confirm(body[:left]) if len(body) >= left else None
+    while found and left:  # where in the text that many characters end
+        m = _LINE.match(text, end, end + left)
+        end, left = m.end(), left - len(m.group())
+        end = _WRAP.match(text, end).end() if left else end
+    if not found or text[end : end + 1].isalnum():
+        return None
+    return _PAD.match(text, end).end() - at, found
+
+
+def _tokens(text: str, m: re.Match) -> list[tuple[int, int, tuple[str, str, int]]]:
+    """(start, length, secret) of the signed tokens within a run of dotted parts."""
+    out, start = [], m.start()
+    parts = m.group().split(".")
+    for i, head in enumerate(parts):
+        if i + 2 < len(parts) and parts[i + 1] and parts[i + 2]:
+            low = max(start, start + len(head) - _MOST_HEADER)
+            for h in _HEADER.finditer(text, low, start + len(head)):
+                found = _token(text[h.start() : start + len(head)], parts[i + 1], parts[i + 2])
+                if found:
+                    out.append((h.start(), found[0], found[1]))
+                    break
+        start += len(head) + 1
+    return out
+
+
+def _token(head: str, claims: str, signature: str) -> tuple[int, tuple[str, str, int]] | None:
+    """(length, secret) of a token whose signature may be joined to what follows by '-' or '_'."""
+    raw = from_base64(head)
+    if not raw or raw[:1] != b"{":
+        return None
+    try:
+        algorithm = json.loads(raw).get("alg")
+    except (ValueError, RecursionError, AttributeError):
+        return None
+    least, most = _SIGNATURE.get(algorithm if isinstance(algorithm, str) else "", (1, 0))
+    short, long = (least * 8 + 5) // 6, (most * 8 + 5) // 6
+    ends = [len(signature), *(i for i in range(min(long, len(signature) - 1), short - 1, -1) if signature[i] in "-_")]
+    for end in ends:
+        if short <= end <= long:
+            whole = f"{head}.{claims}.{signature[:end]}"
+            found = confirm(whole)
             if found:
-                return [(m.end(), found)]
-    return []
+                return len(whole), found
+    return None
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str, str, int]]:
-    """(start, length, kind, detail, decoded bytes) of the secrets of a text, in order, not overlapping."""
-    out, rejected = [], []
-    for m in _RUN.finditer(text or ""):
-        found = confirm(m.group(), m.group("label"), m.group("body"), text[max(0, m.start() - 48) : m.start()])
-        if found:
-            size = m.end() - m.start() if found[0] == "signed_token" or m.group("label") else len(m.group().split(".", 1)[0])
-            out.append((m.start(), size, *found))
-        elif m.group("label") is None:
-            rejected.append(m)
-    if not rejected:
-        return out
-
-    def add(start: int, size: int, found: tuple[str, str, int]) -> None:
-        # the secrets so far are apart and few, so that they're looked through
-        if all(start + size <= s[0] or start >= s[0] + s[1] for s in out):
+    """(start, length, kind, detail, decoded bytes) of the secrets of a text, in order, not overlapping.
+
+    Each kind of candidate is looked for on its own, in time proportional to the text; where two overlap
+    the kind that comes first here stands."""
+    if not text:
+        return []
+    out: list[tuple[int, int, str, str, int]] = []
+    taken: list[tuple[int, int]] = []
+
+    def free(start: int, end: int) -> bool:
+        i = bisect.bisect_left(taken, (end,))
+        return i == 0 or taken[i - 1][1] <= start
+
+    def add(start: int, size: int, found: tuple[str, str, int] | None) -> None:
+        if found and free(start, start + size):
+            bisect.insort(taken, (start, start + size))
             out.append((start, size, *found))
 
-    for start in (i for r in rejected for i in _starts(text, r.start(), r.end())):
-        m = _START.match(text, start)
-        value = m.group()
-        ends = [len(value)]
-        if "." in value:  # what follows a signature may be joined to it by a character of its alphabet
-            ends += [i for i in range(len(value) - 1, value.rindex(".") + 1, -1) if value[i] in "-_"]
-        for end in ends:
-            found = confirm(value[:end], None, None, "")
-            if found and (found[0] == "signed_token" or "." not in value):
-                add(start, end, found)
+    for m in _PEM.finditer(text):
+        add(m.start(), m.end() - m.start(), confirm_pem(m.group("body")))
+    for m in _DOTTED.finditer(text):
+        if m.group().count(".") >= 2:
+            for start, size, found in _tokens(text, m):
+                add(start, size, found)
+    for m in _FIXED.finditer(text):
+        add(m.start(), m.end() - m.start(), confirm(m.group()))
+    for m in _COLONS.finditer(text):
+        digits = re.sub(r"[:\s]", "", m.group()).lower()
+        found = confirm(digits) if len(digits) <= 2 * _MOST_KEY else None
+        add(m.start(), m.end() - m.start(), found and (found[0], "colon hex", found[2]))
+    for m in _RUN.finditer(text):
+        run, seen = m.group(), False
+        for key in _KEY.finditer(text, m.start(), m.end()):
+            found = _key_at(text, key.start()) if free(key.start(), key.end()) else None
+            if found:
+                add(key.start(), *found)
+                seen = True
+        before = text[max(0, m.start() - 48) : m.start()]
+        if seen or not free(m.start(), m.end()) or not _NAMED.search(before):
+            continue
+        # the value, or the last part of it that is one: an id may stand before it
+        for start in (0, *(x.end() for x in re.finditer(r"[/_+-](?=[A-Za-z0-9])", run[-_MOST_OPAQUE:]))):
+            start += max(0, len(run) - _MOST_OPAQUE) if start else 0
+            found = opaque(run[start:]) if 16 <= len(run) - start <= _MOST_OPAQUE else None
+            if found:
+                add(m.start() + start, len(run) - start, ("named_secret", *found))
                 break
-    for m in rejected:
-        for at, found in _within(m.group(), text[max(0, m.start() - 48) : m.start()]):
-            size = len(m.group()) - at if found[0] == "signed_token" else len(m.group()[at:].split(".", 1)[0])
-            add(m.start() + at, size, found)
     return sorted(out)
 
 
-def _starts(text: str, a: int, e: int) -> list[int]:
-    """Where secrets with a fixed start begin in a range; each start is tried, as an earlier one may run over it."""
-    return [i for i in (m.start() for m in _FIXED.finditer(text, a, e)) if _START.match(text, i)]
-
-
 SCHEMA = "doc_id bigint, start bigint, length int, kind string, detail string, n_bytes int, fingerprint string"
 
 
@@ -308,14 +394,15 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     at, counted = docs.columns.index("text"), "n_chars" in docs.columns
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            new = [redact(t) if t else t for t in texts]
-            batch = batch.set_column(at, "text", pa.array(new, batch.schema.field("text").type))
-            if counted:
-                i = batch.schema.names.index("n_chars")
-                old = batch.column(i).to_pylist()
-                batch = batch.set_column(i, "n_chars", pa.array([len(b) if a != b else n for a, b, n in zip(texts, new, old, strict=True)], batch.schema.field(i).type))
-            yield batch
+        for whole in batches:
+            for a, b, texts in text_steps(whole, "text"):
+                batch = whole.slice(a, b - a)
+                new = [redact(t) if t else t for t in texts]
+                batch = batch.set_column(at, "text", pa.array(new, batch.schema.field("text").type))
+                if counted:
+                    i = batch.schema.names.index("n_chars")
+                    old = batch.column(i).to_pylist()
+                    batch = batch.set_column(i, "n_chars", pa.array([len(y) if x != y else n for x, y, n in zip(texts, new, old, strict=True)], batch.schema.field(i).type))
+                yield batch
 
     return docs.mapInArrow(run, docs.schema)

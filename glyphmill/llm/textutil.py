@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes.
 STEP_BYTES = 2_000_000
@@ -111,9 +112,10 @@ def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
 
 def text_steps(batch: pa.RecordBatch | pa.Table, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first row, row after the last, texts) for each step over a batch."""
-    texts = batch.column(column).to_pylist()
-    for a, b in steps([len(t) if t else 0 for t in texts], limit):
-        yield a, b, texts[a:b]
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a, b in steps(sizes, limit):
+        yield a, b, texts.slice(a, b - a).to_pylist()
 
 
 class HashTable:
