@@ -582,7 +582,7 @@ def test_packing_is_brute_force(spark, monkeypatch, docs, kinds, window):
     want = sorted(brute_pack(docs, pri, window))
     assert packs_of(packing.pack_documents(table, window=window)) == want
     # shards, blocks and parts are only how the work is spread
-    for name, value in (("_SHARD_BYTES", 500), ("_WORDS", 100), ("_TILE", 7), ("_PAIRS", 50)):
+    for name, value in (("_SHARD_BYTES", 500), ("_WORDS", 100), ("_TILE", (9, 7)), ("_PAIRS", 50)):
         monkeypatch.setattr(packing, name, value)
     assert packs_of(packing.pack_documents(table.repartition(3), window=window)) == want
 
