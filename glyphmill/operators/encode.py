@@ -52,9 +52,10 @@ class Encoder:
 
     def _remember(self) -> None:
         self._chunk = lru_cache(maxsize=_REMEMBERED)(self._encode_chunk)
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_chunk"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_chunk", "_known")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -115,12 +116,27 @@ class Encoder:
             out.extend(c)
         return out
 
-    def encode_ordinary(self, text: str, shortcut: bool = True) -> list[int]:
+    def _ids(self, tokens: list[bytes] | tuple[bytes, ...]) -> tuple[int, ...]:
         try:
-            return [self.vocabulary.ids[t] for t in self.tokens(text, shortcut)]
+            return tuple([self.vocabulary.ids[t] for t in tokens])
         except KeyError as missing:
             raise ModelError(f"{missing.args[0]!r} isn't in the vocabulary: the model's deletions left it without an id") from None
 
+    def encode_ordinary(self, text: str, shortcut: bool = True) -> list[int]:
+        if self._supers or not shortcut:
+            return list(self._ids(self.tokens(text, shortcut)))
+        # without a second pass a pretoken's ids don't depend on its neighbours, so each is worked out once
+        out: list[int] = []
+        known = self._known
+        for pretoken in self.splitter.split(text):
+            ids = known.get(pretoken)
+            if ids is None:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                ids = known[pretoken] = self._ids(self._encode_chunk(pretoken, True))
+            out += ids
+        return out
+
     def encode(self, text: str, allowed: str | set[str] = "none_raise") -> list[int]:
         """allowed: "all", "none", "none_raise", or the special tokens to look for."""
         specials = self.vocabulary.specials
@@ -171,9 +187,13 @@ class Encoder:
         return self.vocabulary.register_specials(texts)
 
 
-def encode_documents(docs: DataFrame, encoder: Encoder, text: str = "text", into: str = "ids", allowed: str | set[str] = "none") -> DataFrame:
-    """docs with a column of token ids; no shuffle, batch or streaming. A worker remembers pretokens that
-    it has met. A NULL text gives NULL."""
+def encode_documents(docs: DataFrame, encoder: Encoder, text: str = "text", into: str = "ids", allowed: str | set[str] = "none_raise") -> DataFrame:
+    """docs with a column of token ids, batch or streaming. A worker remembers pretokens that it has met.
+    A NULL text gives NULL; a special token in a text is an error unless `allowed` says otherwise. A table
+    of fewer partitions than the session has cores is spread over them; a larger one isn't shuffled."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if not docs.isStreaming and docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(4 * cores)
     held = docs.sparkSession.sparkContext.broadcast(encoder)
 
     @F.pandas_udf("array<int>")
@@ -191,19 +211,33 @@ def decode_documents(docs: DataFrame, encoder: Encoder, ids: str = "ids", into:
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
         table = held.value
-        return rows.map(lambda r: None if r is None else b"".join(table[int(i)] for i in r).decode("utf-8", "replace"))
+
+        def one(row):
+            try:
+                return None if row is None else b"".join([table[i] for i in row.tolist()]).decode("utf-8", "replace")
+            except KeyError as missing:
+                raise ModelError(f"no token has the id {missing.args[0]}") from None
+
+        return rows.map(one)
 
     return docs.withColumn(into, run(F.col(ids)))
 
 
 def decode_bytes_joined(docs: DataFrame, encoder: Encoder, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, data): the same as a lookup join on the vocabulary, which shows its plan to the optimiser."""
+    """(key, data): the same as a lookup join on the vocabulary, which shows its plan to the optimiser.
+
+    One row for each row of docs: no ids give no bytes, NULL gives NULL, and rows that share a key are
+    decoded each; an unknown or NULL id is an error."""
     spark = docs.sparkSession
     table = vocabulary_table(spark, encoder.model).select("id", "token").unionByName(specials_table(spark, encoder.model).select("id", F.col("token").cast("binary").alias("token")))
-    parts = docs.select(key, F.posexplode(ids).alias("pos", "id")).join(table, "id", "left")
-    parts = parts.withColumn("token", F.coalesce("token", F.raise_error(F.lit("unknown id")).cast("binary")))
-    joined = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p"))
-    return joined.select(key, F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["token"])).alias("data"))
+    # the number is given before a row is taken apart
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(ids).alias("__ids"))
+    rows = rows.select("__row", "__key", F.col("__ids").isNull().alias("__null"), F.posexplode_outer("__ids").alias("pos", "id"))
+    parts = rows.join(F.broadcast(table), "id", "left")  # as many rows as the vocabulary has tokens
+    known = F.when(F.col("pos").isNull(), F.lit("")).otherwise(F.coalesce(F.hex("token"), F.raise_error(F.lit("unknown id"))))
+    joined = parts.groupBy("__row", "__key", "__null").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), known.alias("hex")))).alias("p"))
+    data = F.when(~F.col("__null"), F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), "")))
+    return joined.select(F.col("__key").alias(key), data.alias("data"))
 
 
 def eligible_pretokens(encoder: Encoder) -> set[bytes]:

@@ -22,7 +22,7 @@ def byte_chunks(tally: DataFrame) -> DataFrame:
 def pair_counts(chunks: DataFrame) -> DataFrame:
     """(left, right, cnt) weighted by the chunks' counts."""
     pairs = chunks.select(F.explode(adjacent_pairs(F.col("tokens"))).alias("p"), "cnt")
-    return pairs.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("cnt").alias("cnt"))
+    return pairs.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum(F.col("cnt") * F.col("p.times")).alias("cnt"))
 
 
 def token_counts(chunks: DataFrame) -> DataFrame:

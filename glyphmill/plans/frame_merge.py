@@ -8,13 +8,13 @@ that one would have ended the batch. Without deletions (tau > 1).
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.rewrite import merge_pair
 from ..operators.stats import pair_counts
+from .local_merge import merge_tokens
 
 
 def exact_batch(top: list[tuple[bytes, bytes, int]], most: int) -> list[tuple[bytes, bytes, int]]:
@@ -32,8 +32,29 @@ def exact_batch(top: list[tuple[bytes, bytes, int]], most: int) -> list[tuple[by
     return taken or top[:1]
 
 
+def _merged(batch: list[tuple[bytes, bytes, int]]):
+    """The batch's merges, one after the other, over a column of tokens; plans stay as long as they are."""
+    pairs = [(left, right) for left, right, _ in batch]
+
+    @F.pandas_udf("array<binary>")
+    def run(chunks: pd.Series) -> pd.Series:
+        def one(tokens):
+            held = [bytes(t) for t in tokens]
+            for left, right in pairs:
+                if left in held and right in held:
+                    held, _ = merge_tokens(held, left, right)
+            return held
+
+        return chunks.map(one, na_action="ignore")
+
+    return run
+
+
 def merge_rounds(chunks: DataFrame, merges: int, fetch: int = 256, keep_every: int = 5) -> list[tuple[bytes, bytes, int]]:
-    """(left, right, cnt) of the first `merges` merges over (tokens, cnt). Lineage is cut by checkpoint()."""
+    """(left, right, cnt) of the first `merges` merges over (tokens, cnt). Lineage is cut by checkpoint(), so
+    the session needs a checkpoint folder that all executors share."""
+    if not chunks.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        raise ValueError("set a checkpoint folder that all executors share: spark.checkpoint.dir")
     log: list[tuple[bytes, bytes, int]] = []
     rounds = 0
     while len(log) < merges:
@@ -42,11 +63,7 @@ def merge_rounds(chunks: DataFrame, merges: int, fetch: int = 256, keep_every: i
             break
         batch = exact_batch([(bytes(r.left), bytes(r.right), r.cnt) for r in top], fetch)[: merges - len(log)]
         log += batch
-        tokens = reduce(lambda t, p: F.when(F.array_contains(t, F.lit(p[0])) & F.array_contains(t, F.lit(p[1])), merge_pair(t, F.lit(p[0]), F.lit(p[1]))).otherwise(t), batch[:8], F.col("tokens"))
-        chunks = chunks.withColumn("tokens", tokens)
-        for i in range(8, len(batch), 8):
-            more = reduce(lambda t, p: F.when(F.array_contains(t, F.lit(p[0])) & F.array_contains(t, F.lit(p[1])), merge_pair(t, F.lit(p[0]), F.lit(p[1]))).otherwise(t), batch[i : i + 8], F.col("tokens"))
-            chunks = chunks.withColumn("tokens", more)
+        chunks = chunks.withColumn("tokens", _merged(batch)("tokens"))
         rounds += 1
         if rounds % keep_every == 0:
             chunks = chunks.checkpoint()

@@ -14,7 +14,7 @@ from glyphmill.functions import patterns
 from glyphmill.functions.codec import INITIAL_BYTES, TO_CHAR, printable, unprintable
 from glyphmill.functions.pretokenize import Splitter, with_pretokens
 from glyphmill.operators import stats
-from glyphmill.operators.encode import Encoder, SpecialTokenError, decode_bytes_joined, encode_documents
+from glyphmill.operators.encode import Encoder, SpecialTokenError, decode_bytes_joined, decode_documents, encode_documents
 from glyphmill.operators.greedy_split import prefixes_of, split_greedily
 from glyphmill.operators.rewrite import blow_up, delete_token, merge_pair
 from glyphmill.plans.frame_merge import merge_rounds
@@ -84,6 +84,8 @@ def test_rewrites(spark):
     for r in made.collect():
         assert [bytes(t) for t in r.m] == merge_tokens(singles(r.text), b"a", b"a")[0]
         assert [bytes(t) for t in r.u] == singles(r.text) and b"".join(map(bytes, r.d)).decode() == r.text.replace("a", "")
+    apart = df.select("text", merge_pair(F.col("tokens"), F.lit(b"a"), F.lit(b"b")).alias("m"))
+    assert all([bytes(t) for t in r.m] == merge_tokens(singles(r.text), b"a", b"b")[0] for r in apart.collect())
     pairs = {(bytes(r.left), bytes(r.right)): r.cnt for r in stats.pair_counts(df.select("tokens", F.lit(3).cast("bigint").alias("cnt"))).collect()}
     want = Counter()
     for (text,) in rows:
@@ -92,6 +94,14 @@ def test_rewrites(spark):
     assert pairs == want
 
 
+def test_rewrites_are_linear(spark):
+    """A pretoken of a megabyte, as base64 or a sequence of letters gives."""
+    long = spark.range(1).select(F.expr("transform(sequence(1, 1000000), i -> cast(if(i % 3 = 0, 'a', 'b') as binary))").alias("tokens"), F.lit(1).cast("bigint").alias("cnt"))
+    counts = {(bytes(r.left), bytes(r.right)): r.cnt for r in stats.pair_counts(long).collect()}
+    assert counts == {(b"b", b"b"): 333_333, (b"b", b"a"): 333_333, (b"a", b"b"): 333_333}
+    assert long.select(F.size(merge_pair(F.col("tokens"), F.lit(b"b"), F.lit(b"b"))).alias("n"), F.size(merge_pair(F.col("tokens"), F.lit(b"b"), F.lit(b"a"))).alias("m")).first() == (666_667, 666_667)
+
+
 def brute_training(chunks, size, tau, blowup):
     held, weights = [list(c) for c, _ in chunks], [n for _, n in chunks]
     ops, vocabulary = Operations(tau, blowup=blowup), Vocabulary.initial()
@@ -213,6 +223,13 @@ def test_encoding_frames_and_streams(spark, docs, words, tmp_path):
     assert got[99] is None and all(got[i] == tool.encode(t) for i, t in enumerate(TEXTS))
     joined = decode_bytes_joined(encode_documents(docs, tool), tool).collect()
     assert {r.doc_id: bytes(r.data).decode() for r in joined} == dict(enumerate(TEXTS))
+    odd = spark.createDataFrame([(1, "the cat"), (2, ""), (3, None), (4, "a b"), (4, "a c"), (None, "x")], "doc_id bigint, text string")
+    back = [(r.doc_id, r.data and bytes(r.data).decode() or (None if r.data is None else "")) for r in decode_bytes_joined(encode_documents(odd, tool), tool).collect()]
+    assert sorted(back, key=str) == sorted([(r.doc_id, r.text) for r in odd.collect()], key=str)
+    with pytest.raises(Exception, match="special token"):
+        encode_documents(spark.createDataFrame([(1, "a<|end|>b")], "doc_id bigint, text string"), tool).collect()
+    with pytest.raises(Exception, match="no token has the id"):
+        decode_documents(spark.createDataFrame([(1, [10**6])], "doc_id bigint, ids array<int>"), tool).collect()
     docs.write.parquet(str(tmp_path / "in"))
     encode_to(document_stream(spark, str(tmp_path / "in")), tool, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert {r.doc_id: r.ids for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {i: got[i] for i in range(len(TEXTS))}
