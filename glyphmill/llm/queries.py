@@ -11,6 +11,8 @@ from . import exact_topk, lm_score, packing, permutation_ann, secret_scan, sente
 #: Shards of op10; names as a storage layout would have them.
 SHARDS = [f"shard-{i:03d}" for i in range(100)]
 
+#: Vocabulary of op9: a public tokenizer's file, which every worker finds under this path.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: The vector searches take as queries every row whose id this divides, against all rows.
 QUERY_EVERY = 50
 
@@ -53,7 +55,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_nbest.encode_n_best(_table(spark, sf_dir, "documents"), n=3)
+    return sentencepiece_nbest.encode_n_best(_table(spark, sf_dir, "documents"), PIECES, n=3)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

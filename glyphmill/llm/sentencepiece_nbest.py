@@ -7,8 +7,10 @@ paths of such chunks, apart from deviations in at most N - 1 chunks, those with
 between their best and second-best path. Forward and backward Viterbi run over all distinct chunks of
 a step at once in NumPy; A* enumerates the N best paths of the few chunks that deviate.
 
-The model file's path is a parameter. Pieces are scored as the file says; a character that no piece
-holds is spelled in byte pieces at the price of an unknown piece.
+The model file's path is a parameter. Pieces are scored by log-probabilities as the file gives them. A
+file of merges has ranks instead, which say nothing about sums; as merges come in the order of frequency,
+the piece of rank r is then given the probability of Zipf's law, 1 / (1 + r) over the sum of all. Nothing is
+trained. A character that no piece holds is spelled in byte pieces at the price of an unknown piece.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import only
 from .textutil import HashTable, span_hashes, text_steps
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _BASE = np.uint64(0x100000001B3)
 _LONG = 48  # chunks beyond this length are searched one by one
@@ -33,13 +34,13 @@ _MEMORY = 600_000  # distinct chunks that a worker remembers before it starts af
 
 _TOOLS: dict[tuple[str, int, bool], Segmenter] = {}  # a worker's, for all its tasks
 
-SCHEMA = "doc_id bigint, rank int, score double, n_pieces int, ids array<int>"
+SCHEMA = "doc_id bigint, rank int, score double, n_pieces int, ids array<int>, decodes boolean"
 
 
 class Pieces:
     """The vocabulary as plain data, so that it can be broadcast."""
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,6 +53,11 @@ class Pieces:
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
+        ranked = np.array([i for i in self.ids.values() if self.scores[i] > _UNRANKED])
+        if (self.scores[ranked] == np.round(self.scores[ranked])).all():
+            share = 1 / (1 - self.scores[ranked])
+            self.scores[ranked] = np.log(share / share.sum())
+        self.data = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.text)]
         self.unknown_id = model.unk_id()
         self.unknown_score = float(min(x for x in self.scores[list(self.ids.values())] if x > _UNRANKED)) - _UNKNOWN
         self.longest = max(map(len, self.ids))
@@ -222,9 +228,13 @@ class Segmenter:
 
     def __init__(self, pieces: Pieces, n: int, prefix: bool = True):
         self.pieces, self.n, self.prefix = pieces, n, prefix
-        self.alternatives = lru_cache(maxsize=50_000)(lambda chunk: self.pieces.n_best(chunk, self.n))
+        self._held = lru_cache(maxsize=50_000)(lambda chunk: self.pieces.n_best(chunk, self.n))
         self._forget()
 
+    def alternatives(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The chunk's n best segmentations; those of long chunks aren't remembered."""
+        return self._held(chunk) if len(chunk) <= _LONG else self.pieces.n_best(chunk, self.n)
+
     def _forget(self) -> None:
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.score, self.gap, self.begin, self.ids = np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32)
@@ -289,12 +299,13 @@ class Segmenter:
         return out
 
 
-def encode_n_best(docs: DataFrame, n: int = 3, model_path: str = MODEL, prefix: bool = True) -> DataFrame:
-    """(doc_id, rank, score, n_pieces, ids): the up to n best segmentations of every row of docs.
+def encode_n_best(docs: DataFrame, model_path: str, n: int = 3, prefix: bool = True) -> DataFrame:
+    """(doc_id, rank, score, n_pieces, ids, decodes): the up to n best segmentations of every row of docs.
 
+    `decodes` says whether decoding the ids gives the text again (a U+2581 in it comes back as a space).
     `score` is the sum of the pieces' scores, rounded to 6 decimals. Equal scores are told apart by
     the order in which the search finds them, which depends on the text alone. An empty text has one
-    segmentation without pieces; a NULL text has one row with NULL score and ids. Repeated rows are
+    segmentation without pieces; a NULL text has one row with NULL in all three and in decodes. Repeated rows are
     segmented each; NULL ids are carried; an empty table gives none; texts are taken whole. Columns
     other than doc_id and text are ignored.
     """
@@ -310,31 +321,30 @@ def encode_n_best(docs: DataFrame, n: int = 3, model_path: str = MODEL, prefix:
                 at = [i for i, t in enumerate(texts) if t is not None]
                 found = dict(zip(at, tool.segment([texts[i] for i in at]), strict=True))
                 ids = batch.column("doc_id").slice(a, len(texts))
-                row, rank, score, path = [], [], [], []
+                row, rank, score, path, back = [], [], [], [], []
                 for i in range(len(texts)):
                     for r, (s, p) in enumerate(found.get(i, [(None, None)])):
                         row.append(i)
                         rank.append(r + 1)
                         score.append(s if s is None else round(s, 6))
                         path.append(p)
+                        back.append(None if p is None else decode_ids(held.value, p.tolist(), prefix) == texts[i].replace(MARK, " "))
                 sizes = np.array([0 if p is None else len(p) for p in path])
                 values = np.concatenate([p for p in path if p is not None] or [np.zeros(0)]).astype(np.int32)
                 gone = np.array([p is None for p in path], dtype=bool)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values), mask=pa.array(gone))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(sizes.astype(np.int32), mask=gone), lists], names=["doc_id", "rank", "score", "n_pieces", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(sizes.astype(np.int32), mask=gone), lists, pa.array(back, pa.bool_())], names=["doc_id", "rank", "score", "n_pieces", "ids", "decodes"])
 
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, SCHEMA)
 
 
 def decode_ids(pieces: Pieces, ids: list[int], prefix: bool = True) -> str:
     """Text of a segmentation; broken byte sequences become U+FFFD."""
-    byte_of = {int(i): b for b, i in enumerate(pieces.byte_ids) if i >= 0}
-    data = b"".join(bytes([byte_of[i]]) if i in byte_of else pieces.text[i].encode("utf-8", "surrogatepass") for i in ids)
-    text = data.decode("utf-8", "replace").replace(MARK, " ")
+    text = b"".join([pieces.data[i] for i in ids]).decode("utf-8", "replace")
     return text[1:] if prefix and text.startswith(" ") else text
 
 
-def decode(segmentations: DataFrame, model_path: str = MODEL, prefix: bool = True) -> DataFrame:
+def decode(segmentations: DataFrame, model_path: str, prefix: bool = True) -> DataFrame:
     """(doc_id, rank, text) for rows with doc_id, rank and ids. NULL ids give NULL. A text comes back as
     it was, except that a U+2581 in it becomes a space, which is the mark's meaning."""
     held = segmentations.sparkSession.sparkContext.broadcast(Pieces(model_path))

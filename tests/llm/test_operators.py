@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import exact_topk, lm_score, packing, permutation_ann, secret_scan, sentencepiece_nbest as sp, sharding, simhash, toxicity, url_filter
+from glyphmill.llm.queries import PIECES
 from glyphmill.llm.charlm import RatioModel
 from glyphmill.llm.textutil import HashTable, word_hashes
 
@@ -611,7 +612,7 @@ def test_packing_edges(spark):
 
 @pytest.fixture(scope="module")
 def pieces():
-    return sp.Pieces()
+    return sp.Pieces(PIECES)
 
 
 def every_path(pieces, text):
@@ -630,20 +631,32 @@ def test_n_best_is_brute_force(pieces, text, n):
     assert all(sp.decode_ids(pieces, ids.tolist()) == text.replace(sp.MARK, " ") for _, ids in found)
 
 
+def test_best_segmentation_is_sensible(pieces):
+    """Scores are log-probabilities, so that the best segmentation takes about as few pieces as merging does."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert np.exp(pieces.scores[list(pieces.ids.values())]).sum() == pytest.approx(1)
+    text = "The garden behind the house was quiet in the early morning, and the people of the village were still asleep when the first letters arrived from the city."
+    best = sp.Segmenter(pieces, 1).segment([text])[0][0][1].tolist()
+    assert len(best) <= len(model.encode(text)) and model.encode("the garden") == sp.Segmenter(pieces, 1).segment(["the garden"])[0][0][1].tolist()
+
+
 def test_sentencepiece_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    encoded = sp.encode_n_best(docs, n=3)
-    back = sp.decode(encoded).join(docs.withColumnRenamed("text", "was"), "doc_id")
+    encoded = sp.encode_n_best(docs, PIECES, n=3)
+    back = sp.decode(encoded, PIECES).join(docs.withColumnRenamed("text", "was"), "doc_id")
     assert back.filter("text <> was").count() == 0
     assert encoded.groupBy("doc_id").count().filter("count <> 3").count() == 0
+    assert encoded.filter("not decodes").count() == 0
 
 
 def test_sentencepiece_edges(spark):
-    out = sp.encode_n_best(docs_of(spark, [*DOCS, (9, "x" * 3000)]), n=2).collect()
+    out = sp.encode_n_best(docs_of(spark, [*DOCS, (9, "x" * 3000)]), PIECES, n=2).collect()
     assert [(r.rank, r.score, r.ids) for r in out if r.doc_id == 2] == [(1, None, None)]
     assert [(r.rank, r.n_pieces, r.ids) for r in out if r.doc_id == 3] == [(1, 0, [])]
     assert len([r for r in out if r.doc_id == 6]) == 4 and len([r for r in out if r.doc_id is None]) == 2
-    assert sp.encode_n_best(docs_of(spark, [])).collect() == []
+    assert sp.encode_n_best(docs_of(spark, []), PIECES).collect() == []
 
 
 # 10: sharding
