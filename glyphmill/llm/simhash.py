@@ -4,7 +4,8 @@ A document's fingerprint has 128 bits, each the sign of a sum over its distinct
 are near copies where at most `radius` bits differ. By the pigeonhole rule such a pair agrees on at
 least one of `segments` bit ranges up to floor(radius / segments) bits, so for each range the small
 Hamming ball around its value is enumerated, table matches are fetched, and the complete distance
-decides. The search is exact: every pair within the radius is found, and no partner is cut off.
+decides. The search is exact: what pairs within the radius connect is connected, and no partner is cut
+off; of a bucket's near pairs only so many are handed on as connect its rows.
 
 The tables of a range are spread over buckets by the first bits of its value. A fingerprint is sent
 to the few buckets whose first bits lie within the ball (1 + p + p(p-1)/2 of them for p bits and a
@@ -19,13 +20,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import only, saved
 from .textutil import mix64, text_steps, word_hashes
 
 BITS = 128
 _CHUNK = 1 << 16
+#: Pairs that are compared at once.
+_PAIRS = 1 << 20
 
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +114,23 @@ def _probes(prefix_bits: int, segments: int, reach: int):
     return run
 
 
+def join_labels(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after linked rows x and y have come to share the smaller one; a label is a row that has it itself."""
+    while True:
+        a, b = labels[x], labels[y]
+        apart = a != b
+        if not apart.any():
+            return labels
+        parent = np.arange(len(labels))
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        labels = parent[labels]
+        while (parent[labels] != labels).any():
+            labels = parent[labels]
+
+
 def _matcher(prefix_bits: int, segments: int, reach: int, radius: int):
+    """Links between the fingerprints of a bucket: enough of them to connect whatever the complete
+    distances connect, and no more than rows. Rows that are connected already aren't compared again."""
     spans = _ranges(segments)
 
     def match(table: pa.Table) -> pa.Table:
@@ -126,46 +145,44 @@ def _matcher(prefix_bits: int, segments: int, reach: int, radius: int):
         home = np.flatnonzero(room == reach)  # its own prefix: the row is in the table itself
         home = home[np.argsort(low[home], kind="stable")]
         keys, first, count = np.unique(low[home], return_index=True, return_counts=True)
-        where = np.full((1 << width) + 1, -1, dtype=np.int64) if width <= 24 else None
-        if where is not None:
-            where[keys.astype(np.int64)] = np.arange(len(keys))
-        left, right = [], []
-        for flip in _ball(width, reach):
-            able = np.flatnonzero(room >= int(flip).bit_count())
-            wanted = low[able] ^ flip
-            if where is not None:
-                slot = where[wanted.astype(np.int64)]
-                hit = slot >= 0
-            else:
-                slot = np.searchsorted(keys, wanted).clip(0, max(0, len(keys) - 1))
-                hit = keys[slot] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        labels = np.arange(len(ids))
+
+        def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = np.bitwise_count(hi[x] ^ hi[y]).astype(np.int64) + np.bitwise_count(lo[x] ^ lo[y]) <= radius
+            return x[ok], y[ok]
+
+        if len(home):  # each row with the first of its key: variants of one template come together at once
+            labels = join_labels(labels, *near(home, np.repeat(home[first], count)))
+        for flip in sorted(_ball(width, reach).tolist(), key=int.bit_count):
+            able = np.flatnonzero(room >= flip.bit_count())
+            wanted = low[able] ^ np.uint64(flip)
+            slot = np.searchsorted(keys, wanted).clip(0, max(0, len(keys) - 1))
+            hit = keys[slot] == wanted if len(keys) else np.zeros(len(wanted), bool)
             able, slot = able[hit], slot[hit]
-            ends = np.cumsum(count[slot])
-            for a in range(0, len(able), 4096):  # bounds what is expanded at once
-                n = count[slot[a : a + 4096]]
-                base = ends[a] - n[0] if len(n) else 0
-                x = np.repeat(able[a : a + 4096], n)
-                offset = np.arange(len(x)) - np.repeat(ends[a : a + 4096] - n - base, n)
-                y = home[np.repeat(first[slot[a : a + 4096]], n) + offset]
-                ok = (room[x] < reach) | (ids[x] < ids[y])
-                x, y = x[ok], y[ok]
-                dh, dl = hi[x] ^ hi[y], lo[x] ^ lo[y]
-                ok = np.bitwise_count(dh).astype(np.int64) + np.bitwise_count(dl) <= radius
-                x, y, dh, dl = x[ok], y[ok], dh[ok], dl[ok]
-                for b, e in spans[:k]:  # each pair is reported by the first range that finds it
-                    ok = np.bitwise_count(_cut(dh, dl, b, e)) > reach
-                    x, y, dh, dl = x[ok], y[ok], dh[ok], dl[ok]
-                left.append(ids[x])
-                right.append(ids[y])
-        none = np.zeros(0, np.int64)
-        x, y = np.concatenate(left or [none]), np.concatenate(right or [none])
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            if not len(able):
+                continue
+            least, most = np.minimum.reduceat(labels[home], first), np.maximum.reduceat(labels[home], first)
+            new = (least[slot] != most[slot]) | (least[slot] != labels[able])  # else all of that key is connected with the row
+            able, slot = able[new], slot[new]
+            ends, a = np.cumsum(count[slot]), 0
+            while a < len(able):  # bounds what is expanded at once
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _PAIRS, side="right")))
+                n = count[slot[a:b]]
+                x = np.repeat(able[a:b], n)
+                y = home[np.repeat(first[slot[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                ok = labels[x] != labels[y]
+                labels = join_labels(labels, *near(x[ok], y[ok]))
+                a = b
+        x = np.flatnonzero(labels != np.arange(len(ids)))
+        y = labels[x]
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
 
     return match
 
 
-def near_pairs(reps: DataFrame, total: int, radius: int = 20, segments: int = 7, bucket_rows: int = 50_000) -> DataFrame:
-    """(a, b) with a < b for all pairs of (id, hi, lo) rows within the radius, each pair once."""
+def near_links(reps: DataFrame, total: int, radius: int = 20, segments: int = 7, bucket_rows: int = 50_000) -> DataFrame:
+    """(a, b) with a <= b: links of (id, hi, lo) rows whose connected components are those of all pairs
+    within the radius. A bucket gives fewer links than it has rows, however many pairs are near."""
     reach = radius // segments
     prefix_bits = max(0, math.ceil(math.log2(max(1, total / bucket_rows))))
     rows = reps.mapInArrow(_probes(prefix_bits, segments, reach), "seg int, bucket int, room int, block binary")
@@ -202,7 +219,7 @@ def near_duplicates(docs: DataFrame, radius: int = 20, segments: int = 7) -> Dat
     reps = saved(same)
     # one fingerprint may stand for several documents and one id for several fingerprints; both are edges
     exact = rows.join(reps, ["hi", "lo"]).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = near_pairs(reps.select("id", "hi", "lo"), reps.count(), radius, segments)
+    found = near_links(reps.select("id", "hi", "lo"), reps.count(), radius, segments)
     groups = components(found.unionByName(exact))
     return groups.filter("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("keeper_id"))
 
@@ -210,7 +227,9 @@ def near_duplicates(docs: DataFrame, radius: int = 20, segments: int = 7) -> Dat
 def drop_near_duplicates(docs: DataFrame, radius: int = 20, segments: int = 7) -> DataFrame:
     """Rows of docs without those that near_duplicates names, and one row for each doc_id that repeats.
 
-    Rows with a NULL doc_id stay. Columns, also extra ones, are those of docs.
+    Of rows that share a doc_id the one with the smallest text stays (NULL first), and of those the one
+    with the smallest hash of all columns. Rows with a NULL doc_id stay. Columns, also extra ones, are
+    those of docs.
     """
     gone = saved(near_duplicates(docs, radius, segments).select(F.col("doc_id").alias("__gone")))
     many = saved(docs.groupBy(F.col("doc_id").alias("__gone")).count().filter("count > 1 and __gone is not null").select("__gone"))
@@ -218,4 +237,6 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 20, segments: int = 7) -
     if not many.take(1):
         return kept
     match = kept["doc_id"] == many["__gone"]
-    return kept.join(many, match, "left_anti").unionByName(kept.join(many, match, "left_semi").dropDuplicates(["doc_id"]))
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.to_json(F.struct("*"))))
+    first = kept.join(many, match, "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    return kept.join(many, match, "left_anti").unionByName(first)

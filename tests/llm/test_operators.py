@@ -435,7 +435,26 @@ def test_url_filter_is_brute_force(spark):
 # 4: near-duplicates
 
 
-def test_near_pairs_are_brute_force(spark):
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def grouped(nodes, edges):
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in nodes}
+
+
+def test_near_links_are_brute_force(spark):
+    """The groups of the links are those of all pairs, which are compared one by one."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, size=(30, 2))
     rows = []
@@ -443,12 +462,25 @@ def test_near_pairs_are_brute_force(spark):
         hi, lo = (int(x) for x in base[i % 30])
         for bit in rng.choice(128, int(rng.integers(0, 24)), replace=False):
             hi, lo = (hi ^ (1 << int(bit - 64)), lo) if bit >= 64 else (hi, lo ^ (1 << int(bit)))
-        rows.append((i, *(x - (1 << 64) if x >= 1 << 63 else x for x in (hi, lo))))
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and ((a[1] ^ b[1]) % (1 << 64)).bit_count() + ((a[2] ^ b[2]) % (1 << 64)).bit_count() <= 20}
+        rows.append((i, signed(hi), signed(lo)))
+    want = grouped(range(150), [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and ((a[1] ^ b[1]) % (1 << 64)).bit_count() + ((a[2] ^ b[2]) % (1 << 64)).bit_count() <= 20])
     df = spark.createDataFrame(rows, "id bigint, hi bigint, lo bigint")
     for total in (1, 300_000):  # one bucket for each range, and several
-        found = [(r.a, r.b) for r in simhash.near_pairs(df, total).collect()]
-        assert len(found) == len(set(found)) and set(found) == want
+        assert grouped(range(150), [(r.a, r.b) for r in simhash.near_links(df, total).collect()]) == want
+
+
+def test_many_variants_of_one_template(spark):
+    """20,000 fingerprints within 8 bits of one: links are in proportion to them, not to their square."""
+    rng = np.random.default_rng(4)
+    rows = set()
+    while len(rows) < 20_000:
+        hi, lo = 0x123456789ABCDEF0, 0x0FEDCBA987654321
+        for bit in rng.choice(128, 8, replace=False).tolist():
+            hi, lo = (hi ^ (1 << (bit - 64)), lo) if bit >= 64 else (hi, lo ^ (1 << bit))
+        rows.add((signed(hi), signed(lo)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(sorted(rows))], "id bigint, hi bigint, lo bigint")
+    links = [(r.a, r.b) for r in simhash.near_links(df, 20_000).collect()]
+    assert len(links) < 7 * 20_000 and set(grouped(range(20_000), links).values()) == {0}
 
 
 def test_near_duplicates(spark):
@@ -462,7 +494,8 @@ def test_near_duplicates(spark):
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 8, 20, 23]
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, [(1, "a b c"), (1, "a b c"), (1, "x y z")])).collect()) == [1]
+    for n in (1, 3):
+        assert [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs_of(spark, [(1, "x y z"), (1, "a b c"), (1, "a b c")]).repartition(n)).collect()] == [(1, "a b c")]
     assert simhash.near_duplicates(docs_of(spark, [])).collect() == [] == simhash.drop_near_duplicates(docs_of(spark, [])).collect()
 
 
