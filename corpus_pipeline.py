@@ -7,13 +7,11 @@ stage lays what is left into training windows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.packing import pack_documents
 from glyphmill.llm.secret_scan import redact_secrets
-from glyphmill.llm.shared import checkpoint_dir
+from glyphmill.llm.shared import Folder
 from glyphmill.llm.simhash import drop_near_duplicates
 from glyphmill.llm.toxicity import drop_toxic
 
@@ -46,10 +44,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over the documents of sf_dir; every other stage is kept as Parquet in the
-    folder of spark.checkpoint.dir and read again, so that a lost executor costs one stage at most."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder of spark.checkpoint.dir and read again, so that a lost executor costs one stage at most. The
+    last stage has written its own rows when it returns, so the others' tables are deleted then."""
+    folder = Folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = folder.write(stage(spark, docs, sf_dir), name)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    folder.remove()
+    return packed
