@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from .functions.patterns import CATALOGUE, CHARACTER, CHARACTER_GPT4O, CHARACTER_SCRIPTS
 from .functions.pretokenize import Splitter
 from .operators.encode import Encoder, decode_documents, encode_documents
-from .plans.train import train_supers, train_words
+from .operators.stats import pretoken_tally
+from .plans.train import limited, runs_of, train_supers, train_words
 from .session import local_session
 from .sources.corpus import read_jsonl
 from .sources.model_file import read_model, write_model
+from .sources.sinks import save_pretokens, save_runs
 
 
 def _splitter(args: argparse.Namespace) -> Splitter:
@@ -28,7 +31,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("corpus", help="JSON lines with a text each")
         p.add_argument("model", help="file to write")
         p.add_argument("--num-lines", type=int)
-        p.add_argument("--max-bytes", type=int, default=10**9)
+        p.add_argument("--max-bytes", type=int, help="stop reading there; by default all is read")
+        p.add_argument("--outprefix", help="also write PREFIX_<size>.model, at checkpoints and at the end")
+        p.add_argument("--checkpoint-iterations", type=int, default=0, help="a checkpoint whenever the vocabulary's size is a multiple")
+        p.add_argument("--progress-interval", type=int, default=0, help="log a row every so many steps")
+        p.add_argument("--save-pretokens", metavar="FOLDER", help="dump the tally that is trained on")
         p.add_argument("--recalc", type=int, default=0)
         p.add_argument("--special", action="append", default=[])
         if name == "train-word":
@@ -49,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("model")
         p.add_argument("source", help="Parquet with doc_id and text, or ids")
         p.add_argument("target")
+        if name == "encode":
+            p.add_argument("--allowed", nargs="*", default=["none_raise"], help="none_raise, none, all, or the special tokens to look for")
     return top
 
 
@@ -56,11 +65,24 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = local_session()
     if args.command in ("encode", "decode"):
-        tool = encode_documents if args.command == "encode" else decode_documents
-        tool(spark.read.parquet(args.source), Encoder.from_file(args.model)).write.parquet(args.target)
+        rows, encoder = spark.read.parquet(args.source), Encoder.from_file(args.model)
+        if args.command == "decode":
+            made = decode_documents(rows, encoder)
+        else:
+            named = args.allowed[0] if len(args.allowed) == 1 and args.allowed[0] in ("none_raise", "none", "all") else set(args.allowed)
+            made = encode_documents(rows, encoder, allowed=named)
+        made.write.parquet(args.target)
         return
     docs = read_jsonl(spark, args.corpus)
     common = {"num_lines": args.num_lines, "max_bytes": args.max_bytes, "recalc": args.recalc, "specials": args.special}
+    common |= {"outprefix": args.outprefix, "checkpoint_iterations": args.checkpoint_iterations, "progress_interval": args.progress_interval}
+    if args.progress_interval:
+        logging.basicConfig(level=logging.INFO)
+    if args.save_pretokens:
+        if args.command == "train-word":
+            save_pretokens(pretoken_tally(limited(docs, args.num_lines, args.max_bytes), _splitter(args)), args.save_pretokens)
+        else:
+            save_runs(runs_of(limited(docs, args.num_lines, args.max_bytes), read_model(args.word_model)), args.save_pretokens)
     if args.command == "train-word":
         model = train_words(docs, args.vocab_size, args.tau, _splitter(args), blowup=not args.pairs_for_deleted, **common)
     else:

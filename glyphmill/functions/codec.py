@@ -44,3 +44,17 @@ def byte_tokens(text: Column) -> Column:
     data = text.cast("binary")
     some = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.substring(data, i, F.lit(1)))
     return F.when(F.octet_length(data) > 0, some).otherwise(F.array().cast("array<binary>"))
+
+
+def is_all_digits(token: bytes) -> bool:
+    """Whether every byte is an ASCII digit; true of no bytes."""
+    return set(token) <= _DIGITS
+
+
+def can_supermerge(token: bytes) -> bool:
+    """Whether every byte is an ASCII letter, a space, an underscore or an apostrophe; true of no bytes."""
+    return set(token) <= _WORDLIKE
+
+
+_DIGITS = frozenset(range(48, 58))
+_WORDLIKE = frozenset((*range(65, 91), *range(97, 123), *b" _'"))

@@ -8,6 +8,7 @@ stays with its run; common characters between two runs go to the later one.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -121,3 +122,18 @@ def mergeable_column(token: Column, merge_pattern: str = patterns.MERGE_SIMPLE)
 
 def both_mergeable_column(left: Column, right: Column, merge_pattern: str = patterns.MERGE_SIMPLE) -> Column:
     return mergeable_column(left, merge_pattern) & mergeable_column(right, merge_pattern)
+
+
+@lru_cache(maxsize=2)
+def _ready(script_aware: bool) -> Splitter:
+    return Splitter.gpt4o_style() if script_aware else Splitter()
+
+
+def pretokenize(text: str) -> list[str]:
+    """Pretokens of one text in simple mode; the splitter is made once."""
+    return _ready(False).split(text)
+
+
+def pretokenize_script_aware(text: str) -> list[str]:
+    """The same with single characters for the scripts that are written without blanks."""
+    return _ready(True).split(text)

@@ -20,7 +20,7 @@ log = logging.getLogger(__name__)
 FIRST_SIZE = 243
 
 
-def _limited(docs: DataFrame, num_lines: int | None, max_bytes: int | None) -> DataFrame:
+def limited(docs: DataFrame, num_lines: int | None, max_bytes: int | None) -> DataFrame:
     if num_lines is not None:
         docs = first_documents(docs, num_lines)
     return docs if max_bytes is None else byte_budget(docs, max_bytes)
@@ -30,7 +30,7 @@ def _local(chunks: DataFrame, most: int) -> list[tuple[list[bytes], int]]:
     """Distinct chunks, most frequent first; more than `most` of them is an error and not a driver without memory."""
     rows = chunks.orderBy(F.desc("cnt"), F.desc("tokens")).limit(most + 1).collect()
     if len(rows) > most:
-        raise ModelError(f"more than {most} distinct chunks: use plans.frame_merge or a smaller corpus")
+        raise ModelError(f"more than {most} distinct chunks: they don't fit the driver; raise max_chunks or train on a smaller corpus")
     return [([bytes(t) for t in r.tokens], r.cnt) for r in rows]
 
 
@@ -42,7 +42,7 @@ def train_words(
     if vocab_size < FIRST_SIZE:
         raise ValueError(f"vocab_size must be at least {FIRST_SIZE}")
     splitter = splitter or Splitter()
-    tally = pretoken_tally(_limited(docs, num_lines, max_bytes), splitter)
+    tally = pretoken_tally(limited(docs, num_lines, max_bytes), splitter)
     words = tally.select(F.array(F.col("pretoken").cast("binary")).alias("tokens"), "cnt")
     engine = MergeEngine(([bytes([b]) for b in word[0]], n) for word, n in _local(words, max_chunks) if word[0])
     if not engine.chunks:
@@ -90,7 +90,7 @@ def runs_of(docs: DataFrame, word_model: Model) -> DataFrame:
 
 def train_supers(
     docs: DataFrame, word_model: Model, supers: int | None = None, num_lines: int | None = None, max_bytes: int | None = None, greedy: bool = False, min_count: int = 15, max_ngram_len: int = 30,
-    recalc: int = 0, specials: list[str] = (), outprefix: str | None = None, checkpoint_iterations: int = 0, max_chunks: int = 20_000_000,
+    recalc: int = 0, specials: list[str] = (), outprefix: str | None = None, checkpoint_iterations: int = 0, max_chunks: int = 20_000_000, progress_interval: int = 0, report: Callable[[dict], None] | None = None,
 ) -> Model:
     """Second pass: merges across pretokens.
 
@@ -99,7 +99,7 @@ def train_supers(
     """
     if supers is not None and supers < 1:
         raise ValueError("supers must be at least 1")
-    runs = runs_of(_limited(docs, num_lines, max_bytes), word_model)
+    runs = runs_of(limited(docs, num_lines, max_bytes), word_model)
     if greedy:
         last = max(word_model.words.merges, default=None)
         runs = ngram_split(runs, word_model.words.merges[last][1] if last is not None else 0, min_count, max_ngram_len)
@@ -141,6 +141,8 @@ def train_supers(
         if recalc and step and step % recalc == 0:
             engine.verify()
         step += 1
+        if progress_interval and step % progress_interval == 0:
+            _tell(report, step=step, vocab=len(vocabulary), left=pair and pair[0], right=pair and pair[1], count=count, pairs=len(engine.pairs))
         if supers is None and not engine.pairs and step == 1:
             log.warning("no runs to merge: the second pass ends after its first step")
         done = not engine.pairs or (len(vocabulary) - target >= supers if supers is not None else len(vocabulary) >= target)

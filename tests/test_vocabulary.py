@@ -9,10 +9,10 @@ import regex
 from pyspark.sql import functions as F
 
 from glyphmill import queries as own
-from glyphmill.cli import parser
+from glyphmill.cli import main, parser
 from glyphmill.functions import patterns
-from glyphmill.functions.codec import INITIAL_BYTES, TO_CHAR, printable, unprintable
-from glyphmill.functions.pretokenize import Splitter, with_pretokens
+from glyphmill.functions.codec import INITIAL_BYTES, TO_CHAR, can_supermerge, is_all_digits, printable, unprintable
+from glyphmill.functions.pretokenize import Splitter, pretokenize, pretokenize_script_aware, with_pretokens
 from glyphmill.operators import stats
 from glyphmill.operators.encode import Encoder, SpecialTokenError, decode_bytes_joined, decode_documents, encode_documents
 from glyphmill.operators.greedy_split import prefixes_of, split_greedily
@@ -284,3 +284,24 @@ def test_registered_ngrams_are_as_long_as_the_reference(spark, tmp_path):
     assert every["ngram_counts"](spark, str(tmp_path)).filter("n = 30").count() == 3
     pieces = {r.tokens: r.cnt for r in every["greedy_split_runs"](spark, str(tmp_path)).collect()}
     assert pieces == {"␟".join(words[:30]): 15, "␟".join(words[30:]): 15}
+
+
+def test_small_conveniences():
+    assert is_all_digits(b"0123") and is_all_digits(b"") and not is_all_digits(b"1a")
+    assert can_supermerge(b" don't_A") and not can_supermerge(b"a1") and not can_supermerge("é".encode())
+    assert pretokenize("Hello world") == Splitter().split("Hello world") and pretokenize_script_aware("漢字 a") == Splitter.gpt4o_style().split("漢字 a")
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("".join('{"text": "%s"}\n' % t for t in TEXTS))
+    rows = []
+    main(["train-word", str(tmp_path / "c.jsonl"), str(tmp_path / "w.model"), "--vocab-size", "260", "--special", "<|end|>", "--outprefix", str(tmp_path / "p"), "--checkpoint-iterations", "250", "--progress-interval", "5", "--save-pretokens", str(tmp_path / "t")])
+    assert {f.name for f in tmp_path.glob("p_*.model")} == {"p_250.model", "p_260.model"} and list((tmp_path / "t").glob("part*"))
+    model = train_words(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"), 260, specials=["<|end|>"], progress_interval=5, report=rows.append)
+    assert read_model(str(tmp_path / "w.model")).vocabulary.ids == model.vocabulary.ids and len(rows) == 3
+    spark.createDataFrame([(1, "the cat<|end|>")], "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
+    main(["encode", str(tmp_path / "w.model"), str(tmp_path / "in"), str(tmp_path / "ids"), "--allowed", "<|end|>"])
+    main(["decode", str(tmp_path / "w.model"), str(tmp_path / "ids"), str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).first().text == "the cat<|end|>"
+    main(["train-boundless", str(tmp_path / "c.jsonl"), str(tmp_path / "b.model"), "--word-model", str(tmp_path / "w.model"), "--progress-interval", "1"])
+    assert len(read_model(str(tmp_path / "b.model")).vocabulary) == 260
