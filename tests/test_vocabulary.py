@@ -235,6 +235,17 @@ def test_encoding_frames_and_streams(spark, docs, words, tmp_path):
     assert {r.doc_id: r.ids for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {i: got[i] for i in range(len(TEXTS))}
 
 
+def test_decoding_what_was_just_encoded(spark, words, tmp_path):
+    """Both in one plan, and from a table that was written in between; rows without a text and empty ones too."""
+    tool = Encoder(words)
+    odd = spark.createDataFrame([*enumerate(TEXTS), (98, ""), (99, None), (99, "the cat")], "doc_id bigint, text string")
+    want = sorted(map(tuple, odd.collect()), key=str)
+    encoded = encode_documents(odd, tool).select("doc_id", "ids")
+    assert sorted(map(tuple, decode_documents(encoded, tool).select("doc_id", "text").collect()), key=str) == want
+    encoded.write.parquet(str(tmp_path / "ids"))
+    assert sorted(map(tuple, decode_documents(spark.read.parquet(str(tmp_path / "ids")), tool).select("doc_id", "text").collect()), key=str) == want
+
+
 def test_sources_and_sinks(spark, docs, words, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"text": "one"}\n{"text": "tw\\u00f6", "x": 1}\n\n{"text": "three"}\n')
     read = read_jsonl(spark, str(tmp_path / "c.jsonl"))
