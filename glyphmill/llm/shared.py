@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,5 +57,7 @@ class Folder:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     def freed(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+        """Lets Spark's cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage.
+        Python's goes first: its DataFrames lie in cycles and keep the JVM's, with their plans and shuffles."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()

@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -626,6 +627,19 @@ def test_packing_is_brute_force(spark, monkeypatch, docs, kinds, window):
     assert packs_of(packing.pack_documents(table.repartition(3), window=window)) == want
 
 
+def test_packing_goes_on_until_none_is_left(spark):
+    """Documents of few partners: more than four passes until each has been a seed or lies in a window."""
+    docs = [(i, [f"pair{i // 2}", f"own{i}"]) for i in range(24)]
+    table = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
+    pri = {r.doc_id: r.pri for r in table.select("doc_id", F.xxhash64("doc_id", "text").alias("pri")).collect()}
+    want = sorted(brute_pack(docs, pri, 16, passes=1000))
+    assert want != sorted(brute_pack(docs, pri, 16)), "the test's documents are used up by four passes"
+    assert packs_of(packing.pack_documents(table, window=16)) == want
+    # the hash that rounds to 2**64 becomes a seed too
+    batch = pa.RecordBatch.from_pylist([{"block": 0, "state": np.array([5], np.int32).tobytes(), "pri": np.array([-1]).tobytes()}])
+    assert np.frombuffer(next(packing._opened(8, 1.0)([batch])).column("state")[0].as_py(), np.int32).tolist() == [-3]
+
+
 def test_packing_edges(spark):
     out = packing.pack_documents(docs_of(spark), window=1000).collect()
     words = collections.Counter()
