@@ -8,6 +8,8 @@ the texts of both classes, so that strings which are rare in both are neutral.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,11 +25,12 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.lower().encode("utf-8", "surrogatepass")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[bytes, bool]]:
-    """Whole texts of at most per_class labelled documents of each class, in order of a hash of doc_id.
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(turn, doc_id, toxic, text) of at most per_class labelled documents of each class, those whose hash of
+    doc_id, turn, comes first.
 
     A document with contradicting labels counts as toxic; rows with NULLs and empty texts are left out; of
-    several texts under one doc_id the smallest is taken. The driver holds these texts and no others.
+    several texts under one doc_id the smallest is taken.
     """
     flat = only(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("turn", F.xxhash64("doc_id"))
     picked = None
@@ -36,8 +39,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[
         picked = part if picked is None else picked.unionByName(part)
     # the sample is bounded by 2 * per_class rows of ids, so it may be broadcast at any corpus size
     found = only(docs, "doc_id", "text").dropna().filter(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
-    rows = found.groupBy("turn", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    return [(as_bytes(r.text), bool(r.toxic)) for r in sorted(rows, key=lambda r: (r.turn, r.doc_id))]
+    return found.groupBy("turn", "doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def _in_turn(rows: list) -> list[tuple[bytes, bool]]:
+    return [(as_bytes(r["text"]), bool(r["toxic"])) for r in sorted(rows, key=lambda r: (r["turn"], r["doc_id"]))]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[bytes, bool]]:
+    """The sampled texts in turn, on the driver; fitted() doesn't bring them there."""
+    return _in_turn(sampled(docs, labels, per_class).collect())
+
+
+def fitted(docs: DataFrame, labels: DataFrame, order: int, shared: int, per_class: int) -> bytes | None:
+    """What fit() makes of the sample, pickled; None where no class or only one is labelled. One task fits, so
+    the driver holds neither the texts nor what counting them takes."""
+
+    def run(batches):
+        sample = _in_turn([r for batch in batches for r in batch.to_pylist()])
+        if len({toxic for _, toxic in sample}) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample, order, shared))], pa.binary())], names=["model"])
+
+    row = sampled(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(row.model) if row else None
 
 
 def fit(sample: list[tuple[bytes, bool]], order: int = 5, shared: int = 2, held_out: int = 5) -> tuple[RatioModel, float]:
@@ -63,19 +87,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, order: int = 5, shared: i
     are fitted on at most per_class labelled documents of each class.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, per_class)
-    fitted = len({toxic for _, toxic in sample}) == 2
-    held = spark.sparkContext.broadcast(fit(sample, order, shared) if fitted else None)
+    held = spark.sparkContext.broadcast(fitted(docs, labels, order, shared, per_class))
 
     def run(batches):
+        model, threshold = pickle.loads(held.value) if held.value else (None, 0.0)
         for batch in batches:
             for a, b, texts in text_steps(batch, "text", 1_000_000):
-                if held.value is None:
-                    scores = np.full(b - a, np.nan)
-                    threshold = 0.0
-                else:
-                    model, threshold = held.value
-                    scores = model.score([as_bytes(t) for t in texts])
+                scores = model.score([as_bytes(t) for t in texts]) if model else np.full(b - a, np.nan)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(scores, mask=np.isnan(scores)), pa.array(scores > threshold)],
                     names=["doc_id", "llr", "is_toxic"],
@@ -90,16 +108,16 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int =
     A NULL or empty text stays. Extra columns are carried, whatever their names.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, per_class)
-    if len({toxic for _, toxic in sample}) < 2:
+    found = fitted(docs, labels, order, shared, per_class)
+    if not found:
         return docs
-    held = spark.sparkContext.broadcast(fit(sample, order, shared))
+    held = spark.sparkContext.broadcast(found)
 
     def run(batches):
+        model, threshold = pickle.loads(held.value)
         for batch in batches:
             keep = []
             for _, _, texts in text_steps(batch, "text", 1_000_000):
-                model, threshold = held.value
                 keep.append(~(model.score([as_bytes(t) for t in texts]) > threshold))
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 

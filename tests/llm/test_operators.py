@@ -6,6 +6,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import re
 import time
 import zlib
@@ -388,6 +389,26 @@ def test_toxicity_sample(spark):
     assert collections.Counter(t for _, t in few) == {True: 5, False: 5} and set(few) <= set(sample)
 
 
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver holds the pickled models only; texts and counts stay in a task."""
+    rows = [(i, ("vile hate " if i % 2 else "calm kind ") * 5 + f"w{i}") for i in range(40)]
+    labels = [(i, 1, i % 2) for i in range(40)]
+    docs, labels = docs_of(spark, rows), labels_of(spark, labels)
+    model, threshold = toxicity.fit(toxicity.labelled_sample(docs, labels, 2000))
+    want = {i: i % 2 == 1 for i, _ in rows}
+    assert {i: bool(x > threshold) for (i, _), x in zip(rows, model.score([toxicity.as_bytes(t) for _, t in rows]), strict=True)} == want
+
+    fit, driver = toxicity.fit, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != driver, "fitted on the driver"
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    assert {r.doc_id: r.is_toxic for r in toxicity.score_toxicity(docs, labels).collect()} == want
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()} == {i for i, x in want.items() if not x}
+
+
 def test_url_filter(spark, sf):
     pages = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url")
     edge = [(10_001, None), (10_002, "  "), (10_003, "\t\n"), (None, "https://www.casino-win.example.org/x"), (10_004, "https://blog.thor.example.org/" + "a" * 50_000), (10_005, "https://blog.thor.example.org/" + "a" * 50_000)]
