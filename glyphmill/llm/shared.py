@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import Folder, checkpoint_dir
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder of spark.checkpoint.dir; only where that is unset (a local test) a folder of our own."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="checkpoint-")
-    spark.sparkContext.setCheckpointDir(where)
-    return where
+__all__ = ["Folder", "checkpoint_dir", "only", "saved"]
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -35,29 +21,3 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*[df[f"`{c}`"] for c in columns])
-
-
-class Folder:
-    """A folder of tables in the shared folder, for what one query writes and reads again."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """The rows as a table that is read from here on; its schema is known, so reading it costs no job."""
-        writer = df.write.partitionBy(by) if by else df.write
-        writer.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def remove(self, *names: str) -> None:
-        """Deletes these tables, or the whole folder where none is named."""
-        context = self.spark.sparkContext
-        for name in names or ("",):
-            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-    def freed(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage.
-        Python's goes first: its DataFrames lie in cycles and keep the JVM's, with their plans and shuffles."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
