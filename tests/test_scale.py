@@ -1,12 +1,16 @@
 """What stays bounded as tables grow: results must be those of the small forms."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphmill.functions import patterns
-from glyphmill.functions.pretokenize import Splitter
+from glyphmill.functions.pretokenize import Splitter, parts, pretokens_exploded, with_pretokens
+from glyphmill.operators import ngrams, stats
+from glyphmill.operators.greedy_split import greedy_split, prefixes_of, split_greedily
 from glyphmill.plans import spread_merge, train
 from glyphmill.plans.local_merge import MergeEngine, Operations, Vocabulary
 
@@ -73,3 +77,109 @@ def test_training_doesnt_need_all_chunks_on_the_driver(spark, monkeypatch, super
     monkeypatch.setattr(train, "MergeEngine", lambda *a: pytest.fail("all chunks went to the driver"))
     monkeypatch.setattr(spread_merge.SpreadEngine, "close", lambda self, close=spread_merge.SpreadEngine.close: (used.append(len(self.head[1])), close(self)))
     assert trained() == want and len(used) == 2 and max(used) <= 5
+
+
+def brute_ngrams(chunks, most, least):
+    found = Counter()
+    for tokens, n in chunks:
+        for size in range(2, most + 1):
+            for i in range(len(tokens) - size + 1):
+                found[tuple(tokens[i : i + size])] += n
+    return {g: n for g, n in found.items() if n >= least}
+
+
+def chunks_of(spark, chunks):
+    return spark.createDataFrame([([bytearray(t) for t in c], n) for c, n in chunks], "tokens array<binary>, cnt bigint")
+
+
+@pytest.fixture(scope="module")
+def repeated():
+    """Chunks with long parts in common, among many that aren't."""
+    rng = random.Random(8)
+    words = [w.encode() for w in words_of(rng, 40, "abcdé")]
+    long = [rng.choice(words) for _ in range(34)]
+    return [(rng.choices(words, k=rng.randint(1, 12)) + long[: rng.randint(0, 34)], rng.randint(1, 4)) for _ in range(300)] + [([], 3), ([b"a"], 9)]
+
+
+@pytest.mark.parametrize("least", [1, 15, 200, 10**6])
+def test_ngrams_by_levels_are_all_frequent_ones(spark, monkeypatch, repeated, least):
+    monkeypatch.setattr(ngrams, "PIECE", 500)
+    monkeypatch.setattr(ngrams, "MOST_BITS", 9)  # so few that maps keep too much
+    monkeypatch.setattr(ngrams, "FEWEST_BITS", 9)
+    found = ngrams.ngram_counts(chunks_of(spark, repeated), 30, least).collect()
+    assert {tuple(bytes(t) for t in r.ngram): r.cnt for r in found} == brute_ngrams(repeated, 30, least)
+    assert len(found) == len(set(map(str, found))) and all(r.n == len(r.ngram) for r in found)
+
+
+def test_ngrams_shuffle_follows_the_tokens():
+    """Before, the shuffle had a row for each of the 29 lengths at each place."""
+    rng = random.Random(9)
+    chunks = [[str(rng.random()).encode() for _ in range(200)] for _ in range(20)]
+    pieces = list(ngrams.as_pieces([pa.RecordBatch.from_arrays([pa.array(chunks, pa.list_(pa.binary()))], ["tokens"])]))
+    rows = [b for b in ngrams._level([], 30)(pieces)]
+    assert sum(b.num_rows for b in rows) == 20 * 199 + len(pieces) and rows[-1].to_pylist() == [{"h": None, "cnt": 20 * sum(201 - n for n in range(3, 31))}]
+
+
+@pytest.mark.parametrize("least", [15, 10**6])
+def test_greedy_split_without_the_dictionary_as_objects(spark, repeated, least):
+    grams = set(brute_ngrams(repeated, 30, least))
+    want = Counter()
+    for tokens, n in repeated:
+        for part in split_greedily(tokens, grams, prefixes_of(grams)) if grams else [tokens]:
+            want[tuple(part)] += n
+    df = chunks_of(spark, repeated)
+    found = greedy_split(df, ngrams.ngram_counts(df, 30, least)).collect()
+    assert {tuple(bytes(t) for t in r.tokens): r.cnt for r in found} == want and len(found) == len(want)
+    some = {g for g in grams if len(g) != 3}  # n-grams whose beginnings aren't n-grams
+    if some:
+        listed = spark.createDataFrame([([bytearray(t) for t in g],) for g in some], "ngram array<binary>")
+        want = Counter()
+        for tokens, n in repeated:
+            for part in split_greedily(tokens, some, prefixes_of(some)):
+                want[tuple(part)] += n
+        assert {tuple(bytes(t) for t in r.tokens): r.cnt for r in greedy_split(df, listed).collect()} == want
+
+
+TEXTS = ["the cat sat, on the mat", "", None, "1 2 3", "one 2 two three 4 five", "a b c", "a", "Ünïcode wörds\nand more ", "你好 世界 hello"]
+
+
+def test_runs_within_documents(spark, monkeypatch):
+    """A run ends with its text, also where doc_ids are the same; no shuffle before the tally."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").coalesce(1)
+    splitter = Splitter(patterns.GPT2)
+    key = lambda df: {tuple(bytes(t) for t in r.tokens): r.cnt for r in df.collect()}
+    runs = stats.document_runs(docs, splitter)
+    assert key(stats.tallied(runs)) == key(stats.eligible_runs(pretokens_exploded(docs, splitter)))
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    some = {" on", " the", "the", " cat", "a", " b", " two", " three"}
+    listed = spark.createDataFrame([(t,) for t in some], "pretoken string")
+    assert key(stats.tallied(stats.document_runs(docs, splitter, some))) == key(stats.eligible_runs(pretokens_exploded(docs, splitter), listed))
+    same = docs.withColumn("doc_id", docs.doc_id * 0)
+    assert key(stats.tallied(stats.document_runs(same, splitter))) == key(stats.tallied(runs))
+
+
+def test_tally_in_python_takes_texts_in_small_parts():
+    """Batches of many texts aren't split all at once, and what is counted is handed on."""
+    splitter, held = Splitter.gpt4o_style(), []
+    splitter.split = lambda text: held.append(text) or text.split(" ")
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b a", None, "b c"] * 50)], ["text"])
+    rows = [r for b in stats._counted(splitter)([batch]) for r in b.to_pylist()]
+    assert Counter({r["pretoken"]: r["cnt"] for r in rows}) == {"a": 100, "b": 100, "c": 50} and len(held) == 100
+    assert parts(np.array([3, 3, 3, 9, 0, 1]), 4) == [(0, 2), (2, 3), (3, 4), (4, 6)] and parts(np.zeros(0)) == [] and parts(np.zeros(3)) == [(0, 3)]
+
+
+def test_python_tally_is_that_of_lists(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    splitter = Splitter.gpt4o_style()
+    want = Counter(p for t in TEXTS if t is not None for p in splitter.split(t))
+    assert {r.pretoken: r.cnt for r in stats.pretoken_tally(docs, splitter).collect()} == want
+    assert [r.p for r in with_pretokens(docs.coalesce(1), splitter, into="p").collect()] == [None if t is None else splitter.split(t) for t in TEXTS]
+
+
+def test_ratios_read_the_chunks_once(spark):
+    chunks = chunks_of(spark, [([b"a", b"a", b"a", b"b"], 2), ([b"b", b"a"], 3), ([b"c"], 1), ([], 4)])
+    want = stats.ios_ratios(stats.pair_counts(chunks), stats.token_counts(chunks))
+    found = stats.ios_of_chunks(chunks)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+    assert read(found) == 1 < read(want)
